@@ -113,7 +113,8 @@ SERIES = f"""{melted(TREND_METRICS, 'satellite_id, timestamp, id')}, line AS (
   SELECT a.satellite_id, a.metric, a.timestamp, a.id, a.value, a.width,
     CASE WHEN count(b.value) = a.width THEN avg(b.value) END AS average
   FROM widths a JOIN line b ON a.satellite_id = b.satellite_id AND a.metric = b.metric
-    AND b.i BETWEEN a.i - a.width // 2 AND a.i + (a.width - 1) // 2 GROUP BY ALL
+    AND b.i BETWEEN a.i - a.width // 2 AND a.i + (a.width - 1) // 2
+  GROUP BY a.satellite_id, a.metric, a.timestamp, a.id, a.value, a.width
 )"""
 
 
@@ -288,7 +289,7 @@ def _time_issues(source: str) -> str:
 
 @query(
     "timestamp_issues", f"WITH {_time_issues('telemetry_dirty')}\nFINALLY\nSELECT * FROM t_issues",
-    doubles="median_gap_seconds",
+    doubles="median_gap_seconds", digits=4,
 )
 def _(t: Tables):
     return validation.timestamp_issues(t.dirty)

@@ -38,7 +38,7 @@ def _(t: Tables):
 
 @query(
     "safe_divide", "SELECT id, coalesce(radiation_level / nullif(solar_voltage_v, 0), -1E0) AS ratio FROM telemetry",
-    doubles="ratio",
+    doubles="ratio", digits=9,
 )
 def _(t: Tables):
     return t.telemetry.select("id", S.safe_divide(F.col("radiation_level"), F.col("solar_voltage_v"), -1.0).alias("ratio"))

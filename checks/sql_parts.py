@@ -12,8 +12,8 @@ SHAPE_METRICS = "battery_pct, temperature_c, signal_strength_dbm, altitude_km"
 
 def melted(metrics: str, ids: str = "satellite_id", name: str = "vals", source: str = "telemetry") -> str:
     return (
-        f"{name} AS (UNPIVOT INCLUDE NULLS (SELECT {ids}, {metrics} FROM {source}) "
-        f"ON {metrics} INTO NAME metric VALUE value)"
+        f"{name} AS (SELECT * FROM (SELECT {ids}, {metrics} FROM {source}) "
+        f"UNPIVOT INCLUDE NULLS (value FOR metric IN ({metrics})))"
     )
 
 

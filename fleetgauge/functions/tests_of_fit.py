@@ -6,31 +6,38 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def normality_p(n: Column, skew: Column, kurtosis: Column) -> Column:
-    """D'Agostino and Pearson's omnibus test from count, skewness and excess kurtosis."""
-    n = F.when(n >= 10, n.cast("double"))
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (b - 1)) - 1
-    ratio = y / F.sqrt(2 / (w2 - 1))
-    z_skew = F.log(ratio + F.sqrt(ratio * ratio + 1)) / F.sqrt(F.log(w2) / 2)
+def with_normality_p(df: DataFrame, name: str, n: str, skewness: str, kurtosis: str) -> DataFrame:
+    """Adds the p-value of D'Agostino and Pearson's omnibus test, from count and shape.
 
-    expected = 3 * (n - 1) / (n + 1)
-    variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis + 3 - expected) / F.sqrt(variance)
-    q = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-    q = q * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + (8 / q) * (2 / q + F.sqrt(1 + 4 / (q * q)))
-    den = 1 + x * F.sqrt(2 / (a - 4))
-    root = F.signum(den) * F.cbrt(F.try_divide(1 - 2 / a, F.abs(den)))
-    z_kurt = F.try_divide(1 - 2 / (9 * a) - root, F.sqrt(2 / (9 * a)))
-    p = F.exp(-(z_skew * z_skew + z_kurt * z_kurt) / 2)
-    return F.when(skew.isNotNull() & kurtosis.isNotNull(), p)
+    One step per column: a value that is used several times is then computed once.
+    """
+    steps = [
+        {"_n": F.when(F.col(n) >= 10, F.col(n).cast("double")), "_g": F.col(skewness), "_k": F.col(kurtosis)},
+        {
+            "_y": "_g * sqrt((_n + 1) * (_n + 3) / (6 * (_n - 2)))",
+            "_b": "3 * (_n * _n + 27 * _n - 70) * (_n + 1) * (_n + 3)"
+                  " / ((_n - 2) * (_n + 5) * (_n + 7) * (_n + 9))",
+            "_x": "(_k + 3 - 3 * (_n - 1) / (_n + 1))"
+                  " / sqrt(24 * _n * (_n - 2) * (_n - 3) / ((_n + 1) * (_n + 1) * (_n + 3) * (_n + 5)))",
+            "_q": "6 * (_n * _n - 5 * _n + 2) / ((_n + 7) * (_n + 9))"
+                  " * sqrt(6 * (_n + 3) * (_n + 5) / (_n * (_n - 2) * (_n - 3)))",
+        },
+        {"_w": "sqrt(2 * (_b - 1)) - 1", "_a": "6 + 8 / _q * (2 / _q + sqrt(1 + 4 / (_q * _q)))"},
+        {"_r": "_y / sqrt(2 / (_w - 1))", "_d": "1 + _x * sqrt(2 / (_a - 4))"},
+        {
+            "_z1": "ln(_r + sqrt(_r * _r + 1)) / sqrt(ln(_w) / 2)",
+            "_z2": "(1 - 2 / (9 * _a) - signum(_d) * cbrt(try_divide(1 - 2 / _a, abs(_d)))) / sqrt(2 / (9 * _a))",
+        },
+        {name: "exp(-(_z1 * _z1 + _z2 * _z2) / 2)"},
+    ]
+    for step in steps:
+        df = df.withColumns({c: F.expr(e) if isinstance(e, str) else e for c, e in step.items()})
+    return df.drop(*[c for step in steps[:-1] for c in step])
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:

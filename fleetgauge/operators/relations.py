@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,11 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 from fleetgauge.functions.scalars import correlation_direction, correlation_strength
 from fleetgauge.functions.tests_of_fit import pearson_p
-from fleetgauge.operators.grouping import KEYS, present, scoped
+from fleetgauge.operators.grouping import KEYS, Spread, join_groups, present, scoped, spread_of
+
+
+# Share of a metric's own squared distances below which a pair's are taken for rounding noise.
+_NOISE = 1e-12
 
 
 def pearson(x: str, y: str) -> Column:
@@ -21,27 +24,88 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
-def correlation_matrix(
-    df: DataFrame, *, metrics: Sequence[str] = C.METRICS, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Long rows (col_x, col_y, r): every pair both ways, and 1 for a metric with itself.
+def _pair_sums(df: DataFrame, metrics: list[str], keys: list[str], few: bool) -> DataFrame:
+    """Rows (a, b, n, p, and sums s, q, whole of either side) of each pair of metric numbers.
 
-    All pairs come from one partial aggregate, so nothing but sums is shuffled.
+    Values are distances from the group's mean, so plain sums keep their precision, and a missing
+    value adds nothing to any sum. What a missing y takes away from the sums of x is added up
+    separately. A reading becomes one row per metric x, which keeps each aggregate narrow; it is
+    summed up before anything is shuffled.
     """
+    means = df.groupBy(*keys).agg(*[F.avg(m).alias(f"_mean_{m}") for m in metrics])
+
+    def by_metric(rows: DataFrame) -> DataFrame:
+        near = join_groups(rows, means, keys, few=few)
+        z = near.select(*keys, *[(F.col(m) - F.col(f"_mean_{m}")).alias(m) for m in metrics])
+        return z.select("*", F.posexplode(F.array(*metrics)).alias("place", "x"))
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0.0))
+
+    x = F.col("x")
+    sums = [F.count(x).alias("n"), total(x).alias("s"), total(x * x).alias("q")]
+    rows = df.select(*keys, *metrics)
+    products = F.array(*[total(x * F.col(m)) for m in metrics]).alias("p")
+    full = by_metric(rows).groupBy(*keys, "place").agg(*sums, products)
+    beside = {m: F.when(F.col(m).isNull(), x) for m in metrics}
+    # All readings are looked at: a filter for those with a gap in any of the metrics would be
+    # placed by the optimizer through every step below it, which takes longer than it saves.
+    lost = by_metric(rows).groupBy(*keys, "place").agg(
+        F.array(*[F.count(v) for v in beside.values()]).alias("n"),
+        F.array(*[total(v) for v in beside.values()]).alias("s"),
+        F.array(*[total(v * v) for v in beside.values()]).alias("q"),
+    )
+
+    # From here on there are as many rows per group as there are pairs of metrics.
+    cells = full.select(*keys, F.col("place").alias("x"), "n", "s", "q", F.posexplode("p").alias("y", "p"))
+    missed = lost.select(
+        *keys, F.col("place").alias("x"), F.posexplode(F.arrays_zip("n", "s", "q")).alias("y", "missed")
+    )
+    seen = {c: F.col(c) - F.coalesce(F.col(f"missed.{c}"), F.lit(0)) for c in ("n", "s", "q")}
+    cells = join_groups(cells, missed, [*keys, "x", "y"]).select(
+        *keys, "x", "y", "p", F.col("q").alias("whole"), *[v.alias(c) for c, v in seen.items()]
+    )
+    ahead, behind = F.col("x") <= F.col("y"), F.col("x") >= F.col("y")
+
+    def side(which: Column, value: str, name: str) -> Column:
+        return F.max(F.when(which, F.col(value))).alias(name)
+
+    return cells.groupBy(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.max("n").alias("n"), side(ahead, "p", "p"),
+        *[side(ahead, c, f"{c}_a") for c in ("s", "q", "whole")],
+        *[side(behind, c, f"{c}_b") for c in ("s", "q", "whole")],
+    )
+
+
+def correlation_matrix(
+    df: DataFrame, *, metrics: Sequence[str] = C.METRICS, keys: Sequence[str] = KEYS,
+    split: Spread | bool | None = None,
+) -> DataFrame:
+    """Long rows (col_x, col_y, r): every pair both ways, and 1 for a metric with itself."""
     df, keys = scoped(df, keys)
     metrics = present(df, metrics)
-    pairs = list(combinations(metrics, 2))
-    sums = df.groupBy(*keys).agg(
-        *[pearson(x, y).alias(f"r_{x}_{y}") for x, y in pairs],
-        *[F.count(m).alias(f"n_{m}") for m in metrics],
-    )
-    def cell(x, y, r):
-        return F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), r.alias("r"))
+    sums = _pair_sums(df, metrics, keys, spread_of(df, keys, split).few).where(F.col("n") > 1)
+
+    def spread(side: str) -> Column:
+        """Squared distances around the pair's own mean; noise alone counts as no spread."""
+        around = F.col(f"q_{side}") - F.col(f"s_{side}") * F.col(f"s_{side}") / F.col("n")
+        return F.when(around > F.col(f"whole_{side}") * _NOISE, around)
 
-    cells = [cell(a, b, F.col(f"r_{x}_{y}")) for x, y in pairs for a, b in ((x, y), (y, x))]
-    cells += [cell(m, m, F.when(F.col(f"n_{m}") > 1, 1.0)) for m in metrics]
-    long = sums.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
-    return long.where(F.col("r").isNotNull())
+    together = F.col("p") - F.col("s_a") * F.col("s_b") / F.col("n")
+    r = F.when(F.col("a") == F.col("b"), 1.0).otherwise(
+        F.try_divide(together, F.sqrt(spread("a")) * F.sqrt(spread("b")))
+    )
+    names = F.array(*[F.lit(m) for m in metrics])
+    one_way = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))
+    both_ways = F.array(
+        F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))
+    )
+    cell = F.explode(F.when(F.col("a") == F.col("b"), one_way).otherwise(both_ways)).alias("c")
+    return (
+        sums.select(*keys, cell, r.alias("r"))
+        .select(*keys, F.get(names, F.col("c.x")).alias("col_x"), F.get(names, F.col("c.y")).alias("col_y"), "r")
+        .where(F.col("r").isNotNull())
+    )
 
 
 def relationships(

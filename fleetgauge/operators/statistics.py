@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.scalars import classify_distribution, unit_of
-from fleetgauge.functions.tests_of_fit import normality_p
+from fleetgauge.functions.tests_of_fit import with_normality_p
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, present, scoped, spread_of
 from fleetgauge.operators.quantiles import modes, quantiles
 from fleetgauge.operators.select import melt_metrics
@@ -93,9 +93,10 @@ def distribution_analysis(
         F.count("value").alias("count"), F.skewness("value").alias("skewness"),
         F.kurtosis("value").alias("kurtosis"),
     )
-    p = normality_p(F.col("count"), F.col("skewness"), F.col("kurtosis"))
-    return shape.where(F.col("count") >= 10).select(
-        *keys, "metric", (p > 0.05).alias("is_normal"), p.alias("normality_p_value"),
+    long_enough = shape.where(F.col("count") >= 10)
+    tested = with_normality_p(long_enough, "normality_p_value", "count", "skewness", "kurtosis")
+    return tested.select(
+        *keys, "metric", (F.col("normality_p_value") > 0.05).alias("is_normal"), "normality_p_value",
         "skewness", "kurtosis", classify_distribution(F.col("skewness")).alias("distribution_type"),
     )
 

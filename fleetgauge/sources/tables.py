@@ -13,6 +13,11 @@ from fleetgauge import schemas
 from fleetgauge.operators.select import parsed_timestamp
 
 
+# Text exports keep microseconds.
+CSV_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def _as_declared(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns by name in declared order and type; absent ones are null, NaN becomes null."""
     columns = []
@@ -89,12 +94,13 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    _flat(df).write.mode("overwrite").option("header", True).csv(path)
+    writer = _flat(df).write.mode("overwrite").option("header", True)
+    writer.option("timestampFormat", CSV_TIME).csv(path)
 
 
 def export_json_report(reports: DataFrame, path: str) -> None:
     """One JSON document per satellite and line."""
-    reports.write.mode("overwrite").json(path)
+    reports.write.mode("overwrite").option("timestampFormat", JSON_TIME).json(path)
 
 
 def export_report_bundle(sheets: Mapping[str, DataFrame], path: str, format: str = "parquet") -> None:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.operators.select import fill_ingest_defaults, is_valid_record, parsed_timestamp
-from fleetgauge.sources.tables import coerce_batch, scan_telemetry
+from fleetgauge.sources.tables import JSON_TIME, coerce_batch, scan_telemetry
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -86,7 +86,7 @@ def tap_batch(path: str, records: int = C.TAP_RECORDS) -> BatchWriter:
             F.lit("telemetry").alias("type"), count.scalar().alias("count"),
             F.current_timestamp().alias("timestamp"), "records",
         )
-        envelope.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        envelope.write.mode("overwrite").option("timestampFormat", JSON_TIME).json(f"{path}/batch={batch_id}")
 
     return write
 
