@@ -313,14 +313,14 @@ REPORT = f"""WITH {_time_issues('telemetry')}, violations AS ({VIOLATIONS}), q_r
 ), q_counts AS (
   SELECT satellite_id, count(*) AS total_records, {_NULLS} AS missing_total FROM telemetry GROUP BY 1
 ), q_all AS (
-  SELECT *, round(round(missing_total / CAST(total_records * 26 AS DOUBLE) * 100, 9), 2) AS missing_pct_total,
-    round(round(duplicate_count / CAST(total_records AS DOUBLE) * 100, 9), 2) AS duplicate_pct
+  SELECT *, round(missing_total / CAST(total_records * 26 AS DOUBLE) * 100, 2) AS missing_pct_total,
+    round(duplicate_count / CAST(total_records AS DOUBLE) * 100, 2) AS duplicate_pct
   FROM q_counts JOIN q_copies USING (satellite_id) JOIN q_ranges USING (satellite_id) JOIN t_issues USING (satellite_id)
 ), report AS (
   SELECT *, least(30E0, missing_pct_total) + least(20E0, duplicate_pct * 2) + deduction + issue_kinds * 5 AS lost FROM q_all)
 FINALLY
 """
-_SCORES = "round(round(lost, 9), 1) AS deductions, round(round(greatest(0E0, 100 - lost), 9), 1) AS quality_score"
+_SCORES = "round(lost, 1) AS deductions, round(greatest(0E0, 100 - lost), 1) AS quality_score"
 
 
 @query(

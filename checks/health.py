@@ -17,7 +17,7 @@ _METRICS = [
     ("sensor_status", "sensor_score", "%", "CASE WHEN sensor_status > 98 THEN 'All Active' WHEN sensor_status > 80 THEN 'Degraded' ELSE 'Failed' END"),
 ]
 METRIC_SQL = " UNION ALL ".join(
-    f"SELECT satellite_id, '{m}' AS metric, round(round({m}, 9), 1) AS value, {score} AS score, '{unit}' AS unit, "
+    f"SELECT satellite_id, '{m}' AS metric, round({m}, 1) AS value, {score} AS score, '{unit}' AS unit, "
     f"{status} AS status FROM h_scores"
     for m, score, unit, status in _METRICS
 )
@@ -76,7 +76,7 @@ FINALLY
     FLEET + """SELECT count(*) AS total_satellites, count(h.health_score) AS analyzed,
   count(CASE WHEN h.status = 'Excellent' THEN 1 END) AS excellent, count(CASE WHEN h.status = 'Good' THEN 1 END) AS good,
   count(CASE WHEN h.status = 'Warning' THEN 1 END) AS warning, count(CASE WHEN h.status = 'Critical' THEN 1 END) AS critical,
-  round(round(avg(h.health_score), 9), 1) AS average_health,
+  round(avg(h.health_score), 1) AS average_health,
   count(CASE WHEN h.status IN ('Excellent', 'Good') THEN 1 END) AS healthy,
   count(CASE WHEN h.status IN ('Warning', 'Critical') THEN 1 END) AS attention
 FROM (SELECT satellite_id FROM satellites WHERE status = 'active') LEFT JOIN health h USING (satellite_id)""",
@@ -91,7 +91,7 @@ def _(t: Tables):
     f"""WITH {health()}, names AS (SELECT unnest(['Excellent', 'Good', 'Warning', 'Critical']) AS category)
 FINALLY
 SELECT category, count(status) AS satellites,
-  round(round(count(status) * 100E0 / (SELECT count(*) FROM health), 9), 1) AS share_pct
+  round(count(status) * 100E0 / (SELECT count(*) FROM health), 1) AS share_pct
 FROM names LEFT JOIN health ON status = category GROUP BY category""",
     doubles="share_pct",
 )

@@ -55,18 +55,18 @@ def health(source: str = "telemetry", key: str = "satellite_id") -> str:
   FROM h_means
 ), h_scores AS (
   SELECT * EXCLUDE (r_battery, r_temperature, r_signal, r_solar, r_cpu, r_memory, r_radiation),
-    round(round(greatest(0E0, least(100E0, r_battery)), 9), 1) AS battery_score,
-    round(round(greatest(0E0, least(100E0, r_temperature)), 9), 1) AS temperature_score,
-    round(round(greatest(0E0, least(100E0, r_signal)), 9), 1) AS signal_score,
-    round(round(greatest(0E0, least(100E0, r_solar)), 9), 1) AS solar_power_score,
-    round(round(greatest(0E0, least(100E0, r_cpu)), 9), 1) AS cpu_score,
-    round(round(greatest(0E0, least(100E0, r_memory)), 9), 1) AS memory_score,
-    round(round(greatest(0E0, least(100E0, r_radiation)), 9), 1) AS radiation_score,
-    round(round(sensor_status, 9), 1) AS sensor_score
+    round(greatest(0E0, least(100E0, r_battery)), 1) AS battery_score,
+    round(greatest(0E0, least(100E0, r_temperature)), 1) AS temperature_score,
+    round(greatest(0E0, least(100E0, r_signal)), 1) AS signal_score,
+    round(greatest(0E0, least(100E0, r_solar)), 1) AS solar_power_score,
+    round(greatest(0E0, least(100E0, r_cpu)), 1) AS cpu_score,
+    round(greatest(0E0, least(100E0, r_memory)), 1) AS memory_score,
+    round(greatest(0E0, least(100E0, r_radiation)), 1) AS radiation_score,
+    round(sensor_status, 1) AS sensor_score
   FROM h_raw
 ), h_overall AS (
-  SELECT *, round(round((battery_score * 25 + temperature_score * 15 + signal_score * 15 + solar_power_score * 10
-     + cpu_score * 10 + memory_score * 10 + radiation_score * 10 + sensor_score * 5) / 100, 9), 1) AS health_score
+  SELECT *, round((battery_score * 25 + temperature_score * 15 + signal_score * 15 + solar_power_score * 10
+     + cpu_score * 10 + memory_score * 10 + radiation_score * 10 + sensor_score * 5) / 100, 1) AS health_score
   FROM h_scores
 ), health AS (
   SELECT *, CASE WHEN health_score >= 90 THEN 'Excellent' WHEN health_score >= 70 THEN 'Good'

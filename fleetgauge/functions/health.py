@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.scalars import bands, clamp, tidy
+from fleetgauge.functions.scalars import bands, clamp
 
 # Fixed values. Each step is (limit, base, slope, anchor) and stands for base + slope * (m - anchor).
 # A step of RISING holds from its limit up, one of FALLING up to its limit; the last holds elsewhere.
@@ -59,7 +59,7 @@ def _temperature(m: Column) -> Column:
 
 
 def _score(raw: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda m: F.when(m.isNotNull(), tidy(clamp(raw(m), 0, 100), 1))
+    return lambda m: F.when(m.isNotNull(), F.round(clamp(raw(m), 0, 100), 1))
 
 
 def _falling_status(metric: str) -> Callable[[Column], Column]:
@@ -98,7 +98,7 @@ SCORERS: dict[str, Callable[[Column], Column]] = {
     "cpu_usage_pct": _score(lambda m: _steps(m, FALLING["cpu_usage_pct"], False)),
     "memory_usage_pct": _score(lambda m: _steps(m, FALLING["memory_usage_pct"], False)),
     "radiation_level": _score(lambda m: _steps(m, FALLING["radiation_level"], False)),
-    "sensor_status": lambda m: tidy(m, 1),
+    "sensor_status": lambda m: F.round(m, 1),
 }
 STATUSES: dict[str, Callable[[Column], Column]] = {
     "battery_pct": lambda m: bands(m, *RISING_STATUS["battery_pct"]),
@@ -121,4 +121,4 @@ def overall(scores: dict[str, Column], weights: dict[str, float]) -> Column:
         total = total + F.coalesce(score * w / 100, F.lit(0.0))
         weight = weight + F.when(score.isNotNull(), w).otherwise(0.0)
     mean = F.when(weight > 0, F.try_divide(total, weight) * 100).otherwise(50.0)
-    return tidy(clamp(mean, 0, 100), 1)
+    return F.round(clamp(mean, 0, 100), 1)

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 
 
-def tidy(value: Column, digits: int) -> Column:
-    """Rounds half up after taking away the floating-point noise of sums and means."""
-    return F.round(F.round(value, 9), digits)
-
-
 def bands(value: Column, limits: list[tuple[float, str]], otherwise: str, *, strict: bool = False) -> Column:
     """Label of the first limit the value reaches (or exceeds, when strict); null stays null."""
     result = F.when(value.isNull(), F.lit(None).cast("string"))

@@ -19,6 +19,7 @@ from fleetgauge import constants as C
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, present, scoped, spread_of
 from fleetgauge.operators.quantiles import quantiles
 from fleetgauge.operators.statistics import impute_median, standardize
+from fleetgauge.session import pin
 
 SCORE_ROWS = 200_000
 _OVERSAMPLE = 4
@@ -189,7 +190,8 @@ def isolation_forest_score(
     prepared = prepare(narrow, features, keys=keys, split=split)
     options = dict(keys=keys, id_column=id_column, few=split.few)
     forest = isolation_forest_fit(prepared, features, settings=settings, **options)
-    raw = isolation_forest_raw_scores(prepared, forest, features, **options)
+    # Written once: the threshold and the result both read the scores, and scoring is the dear part.
+    raw = pin(isolation_forest_raw_scores(prepared, forest, features, **options))
     offset = quantiles(raw, keys, "raw_score", {"_offset": settings.contamination}, split=split)
     scored = join_groups(raw, offset, keys, few=split.few)
     scored = scored.select(

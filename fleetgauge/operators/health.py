@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.health import SCORERS, STATUSES, metric_mean, overall
-from fleetgauge.functions.scalars import health_category, health_color, health_emoji, tidy
+from fleetgauge.functions.scalars import health_category, health_color, health_emoji
 from fleetgauge.operators.grouping import KEYS, present, scoped
 from fleetgauge.operators.select import active_satellites, latest_readings
 
@@ -51,7 +51,7 @@ def metric_health(df: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     means = metric_means(df, keys=keys)
     cells = [
         F.struct(
-            F.lit(m).alias("metric"), tidy(F.col(m), 1).alias("value"), SCORERS[m](F.col(m)).alias("score"),
+            F.lit(m).alias("metric"), F.round(F.col(m), 1).alias("value"), SCORERS[m](F.col(m)).alias("score"),
             F.lit(C.HEALTH_UNITS.get(m, "")).alias("unit"), STATUSES[m](F.col(m)).alias("status"),
         )
         for m in present(means, list(SCORERS))
@@ -114,7 +114,7 @@ def health_report(df: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     metrics = present(scored, list(SCORERS))
     nested = [
         F.struct(
-            F.lit(m).alias("metric"), tidy(F.col(m), 1).alias("value"), F.col(f"{m}_score").alias("score"),
+            F.lit(m).alias("metric"), F.round(F.col(m), 1).alias("value"), F.col(f"{m}_score").alias("score"),
             F.lit(C.HEALTH_UNITS.get(m, "")).alias("unit"), STATUSES[m](F.col(m)).alias("status"),
         )
         for m in metrics
@@ -143,7 +143,7 @@ def fleet_overview(registry: DataFrame, df: DataFrame, rows: int | None = 200) -
     totals = active.join(health, "satellite_id", "left").agg(
         F.count(F.lit(1)).alias("total_satellites"), F.count("health_score").alias("analyzed"),
         *[count.alias(name) for name, count in status.items()],
-        F.coalesce(tidy(F.avg("health_score"), 1), F.lit(0.0)).alias("average_health"),
+        F.coalesce(F.round(F.avg("health_score"), 1), F.lit(0.0)).alias("average_health"),
     )
     return totals.withColumns(
         {
@@ -159,7 +159,7 @@ def health_distribution(health: DataFrame) -> DataFrame:
     counts = health.agg(
         *[F.count_if(F.col("status") == n).alias(n) for n in names], F.count("status").alias("_all")
     )
-    share = F.coalesce(tidy(F.try_divide(F.col("satellites"), F.col("_all")) * 100, 1), F.lit(0.0))
+    share = F.coalesce(F.round(F.try_divide(F.col("satellites"), F.col("_all")) * 100, 1), F.lit(0.0))
     return counts.unpivot(["_all"], names, "category", "satellites").select(
         "category", "satellites", share.alias("share_pct")
     )

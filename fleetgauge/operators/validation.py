@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge import constants as C
-from fleetgauge.functions.scalars import tidy
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, ordering, present, scoped, spread_of
 from fleetgauge.operators.ordering import over_readings
 from fleetgauge.operators.quantiles import quantiles
@@ -42,7 +41,7 @@ def range_flags(df: DataFrame, ranges: Ranges = C.VALUE_RANGES) -> DataFrame:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return tidy(F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0)), 2)
+    return F.round(F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0)), 2)
 
 
 def missing_profile(
@@ -150,8 +149,8 @@ def quality_score(profile: DataFrame) -> DataFrame:
     )
     return profile.withColumns(
         {
-            "deductions": tidy(deductions, 1),
-            "quality_score": tidy(F.greatest(F.lit(0.0), 100 - deductions), 1),
+            "deductions": F.round(deductions, 1),
+            "quality_score": F.round(F.greatest(F.lit(0.0), 100 - deductions), 1),
         }
     )
 

@@ -81,9 +81,8 @@ def tap_batch(path: str, records: int = C.TAP_RECORDS) -> BatchWriter:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         first = batch.limit(records).agg(F.collect_list(F.struct(*batch.columns)).alias("records"))
-        count = batch.agg(F.count(F.lit(1)))
         envelope = first.select(
-            F.lit("telemetry").alias("type"), count.scalar().alias("count"),
+            F.lit("telemetry").alias("type"), F.lit(batch.count()).alias("count"),
             F.current_timestamp().alias("timestamp"), "records",
         )
         envelope.write.mode("overwrite").option("timestampFormat", JSON_TIME).json(f"{path}/batch={batch_id}")
@@ -92,11 +91,15 @@ def tap_batch(path: str, records: int = C.TAP_RECORDS) -> BatchWriter:
 
 
 def on_batch(*writers: BatchWriter) -> BatchWriter:
-    """Runs several writers on one computed batch."""
+    """Runs several writers on one computed batch.
+
+    The batch is computed in full before the first writer, so its records are counted once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
+            batch.count()
             for writer in writers:
                 writer(batch, batch_id)
         finally:
