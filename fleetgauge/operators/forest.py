@@ -55,27 +55,41 @@ def _path_length(size: np.ndarray) -> np.ndarray:
 def _grow(points: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
     """One tree as parallel lists, one entry per node; feature -1 marks a leaf."""
     tree = {"feature": [], "threshold": [], "left": [], "right": [], "depth": []}
+    draws = iter(rng.random(4 * len(points) + 4).tolist())
+    sizes = []
     todo = [(points, 0, None, None)]
     while todo:
         rows, depth, parent, side = todo.pop()
-        node = len(tree["feature"])
+        node = len(sizes)
         if parent is not None:
             tree[side][parent] = node
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        leaf = depth >= height or len(rows) <= 1 or len(varying) == 0
-        feature = -1 if leaf else int(rng.choice(varying))
-        threshold = 0.0 if leaf else float(rng.uniform(low[feature], high[feature]))
-        end = depth + float(_path_length(np.array([len(rows)]))[0]) if leaf else 0.0
-        for name, value in zip(tree, (feature, threshold, -1, -1, end)):
+        feature, threshold = -1, 0.0
+        if depth < height and len(rows) > 1:
+            low, high = rows.min(axis=0), rows.max(axis=0)
+            varying = np.flatnonzero(high > low)
+            if len(varying):
+                feature = int(varying[int(next(draws) * len(varying))])
+                threshold = float(low[feature] + next(draws) * (high[feature] - low[feature]))
+        sizes.append(len(rows) if feature < 0 else 1)
+        for name, value in zip(tree, (feature, threshold, -1, -1, depth if feature < 0 else 0)):
             tree[name].append(value)
-        if not leaf:
+        if feature >= 0:
             goes_left = rows[:, feature] <= threshold
             todo.append((rows[~goes_left], depth + 1, node, "right"))
             todo.append((rows[goes_left], depth + 1, node, "left"))
+    tree["depth"] = (np.array(tree["depth"], dtype=float) + _path_length(np.array(sizes))).tolist()
     return tree
 
 
+def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The shuffle of the grouping, in a fixed number of parts.
+
+    Left to itself it would be merged into few tasks by its size in bytes, while the work on it
+    is dear in time.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _TREE_FIELDS = (
     "sample_size int, feature array<int>, threshold array<double>, left array<int>, "
     "right array<int>, depth array<double>"
@@ -111,7 +125,7 @@ def isolation_forest_fit(
 
     key_types = ", ".join(f"{k} {prepared.schema[k].dataType.simpleString()}" for k in keys)
     return (
-        drawn.select(*keys, "tree", id_column, "_draw", *names)
+        _spread_out(drawn.select(*keys, "tree", id_column, "_draw", *names), [*keys, "tree"])
         .groupBy(*keys, "tree")
         .applyInPandas(grow, f"{key_types}, tree int, {_TREE_FIELDS}")
     )
@@ -166,7 +180,8 @@ def isolation_forest_raw_scores(
         return result
 
     fields = ", ".join(f"{c} {prepared.schema[c].dataType.simpleString()}" for c in [*keys, id_column])
-    grouped = rows.groupBy(*keys, "_part").cogroup(sent.groupBy(*keys, "_part"))
+    by = [*keys, "_part"]
+    grouped = _spread_out(rows, by).groupBy(*by).cogroup(_spread_out(sent, by).groupBy(*by))
     return grouped.applyInPandas(score, f"{fields}, raw_score double")
 
 
