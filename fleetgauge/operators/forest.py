@@ -1,7 +1,7 @@
 """Isolation forest: trees grown on small samples, rows scored where they lie.
 
 Rows reach a tree by a hash of (seed, tree, id), so the forest does not depend on how the data is
-partitioned, and only about four samples' worth of rows per tree are shuffled. Growing and walking
+partitioned, and only about one and a half samples of rows per tree are shuffled. Growing and walking
 trees is numpy on Arrow batches; sampling, grouping, thresholds and joins are Spark's.
 """
 
@@ -22,7 +22,8 @@ from fleetgauge.operators.statistics import impute_median, standardize
 from fleetgauge.session import pin
 
 SCORE_ROWS = 200_000
-_OVERSAMPLE = 4
+# Drawn rows per tree over the sample size: 256 of about 384, so a short sample is next to impossible.
+_OVERSAMPLE = 1.5
 _HASH_STEPS = 1 << 30
 
 
