@@ -68,3 +68,12 @@ def op7_splitting_tree(spark, folder):
     from fleetgauge.llm.mixing import mix_plan
 
     return mix_plan(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op9_rank_array(spark, folder):
+    import public_tokenizers
+
+    from fleetgauge.llm.bpe import token_digests
+
+    return token_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
