@@ -77,3 +77,17 @@ def op9_rank_array(spark, folder):
     from fleetgauge.llm.bpe import token_digests
 
     return token_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_rank_order(spark, folder):
+    from fleetgauge.llm.language_id import language_of
+
+    return language_of(read(spark, folder, "documents"))
+
+
+@query
+def op5_pivot_table(spark, folder):
+    from fleetgauge.llm.simhash import near_copies
+
+    return near_copies(read(spark, folder, "documents"))
