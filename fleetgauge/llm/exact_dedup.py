@@ -60,7 +60,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.first("doc_id").over(whole).alias("head"),
             F.count(F.lit(1)).over(whole).alias("copies"),
         )
-        .withColumn("text_sha256", F.sha2("body", 256))
+        # Never null, so that no filter for a join on it makes the two readers of the sorted rows differ.
+        .withColumn("text_sha256", F.coalesce(F.sha2("body", 256), F.lit("")))
     )
     rank = F.struct(
         (-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"),
@@ -72,13 +73,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min(rank).alias("best"), F.sum("copies").alias("all_copies"))
         .select("text_sha256", F.col("best.c").alias("best_id"), F.col("best.d").alias("best_piece"), "all_copies")
     )
-    of_pieces = F.col("all_copies").isNotNull()
+    of_pieces = F.col("pieces").isNotNull()
     return (
         runs.drop("body").join(F.broadcast(joined), "text_sha256", "left")
         .select(
             "doc_id",
             F.when(of_pieces, F.col("best_id")).otherwise(F.col("head")).alias("keep_id"),
-            F.coalesce("all_copies", "copies").alias("group_size"),
+            F.when(of_pieces, F.col("all_copies")).otherwise(F.col("copies")).alias("group_size"),
             ((F.col("place") == 1) & (~of_pieces | (F.col("piece") == F.col("best_piece")))).alias("kept"),
             "text_sha256",
             *(["text", "carried"] if carry else []),
