@@ -139,3 +139,10 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN response <> page_id THEN response END AS refers_to
 FROM groups
 """
+
+
+@query
+def op8_elias_fano(spark, folder):
+    from fleetgauge.llm.lm_score import lm_scores
+
+    return lm_scores(read(spark, folder, "documents"))
