@@ -146,3 +146,11 @@ def op8_elias_fano(spark, folder):
     from fleetgauge.llm.lm_score import lm_scores
 
     return lm_scores(read(spark, folder, "documents"))
+
+
+@query
+def op1_feistel(spark, folder):
+    from fleetgauge.llm.pseudonyms import with_pseudonyms
+
+    # The key of this query is open, so that its results can be checked; a real one belongs in a vault.
+    return with_pseudonyms(read(spark, folder, "documents"), key="open key of the registered query")
