@@ -55,7 +55,7 @@ def _(t: Tables):
     "recommendations",
     f"""WITH {health()}
 FINALLY
-SELECT satellite_id, health_score, coalesce(nullif({ADVICE}, ''), 'All systems are nominal. Nothing needs to be done now.')
+SELECT satellite_id, health_score, coalesce(nullif({ADVICE}, ''), 'none: no metric is below its limit')
   AS recommendations FROM health""",
     doubles="health_score",
 )

@@ -74,15 +74,15 @@ def health(source: str = "telemetry", key: str = "satellite_id") -> str:
 )"""
 
 
-ADVICE = """concat_ws(' | ', CASE WHEN battery_score < 50 THEN 'Critical: battery charge is low. Save power and pause work that can wait.'
-    WHEN battery_score < 70 THEN 'Warning: the battery is weakening. Keep an eye on its charging cycles.' END,
-  CASE WHEN temperature_score < 50 THEN 'Critical: temperature is outside the safe range. Inspect thermal control now.'
-    WHEN temperature_score < 70 THEN 'Warning: temperature is leaving its best range. Review thermal control.' END,
-  CASE WHEN signal_score < 50 THEN 'Critical: the signal is weak. Check antenna pointing and the radio.'
-    WHEN signal_score < 70 THEN 'Warning: the signal is fading. Watch the quality of the link.' END,
-  CASE WHEN sensor_score < 80 THEN 'Warning: some sensors may have failed. Run their diagnostics.' END,
-  CASE WHEN cpu_score < 50 THEN 'Warning: CPU load is far too high. Look for runaway processes.' END,
-  CASE WHEN memory_score < 50 THEN 'Warning: memory is nearly used up. Free memory or plan a restart.' END)"""
+ADVICE = """concat_ws(' | ', CASE WHEN battery_score < 50 THEN 'urgent: charge before further work, battery points are below 50'
+    WHEN battery_score < 70 THEN 'soon: plan a longer charge, battery points are below 70' END,
+  CASE WHEN temperature_score < 50 THEN 'urgent: bring the temperature back, its points are below 50'
+    WHEN temperature_score < 70 THEN 'soon: look at heating and cooling, temperature points are below 70' END,
+  CASE WHEN signal_score < 50 THEN 'urgent: test the radio link, signal points are below 50'
+    WHEN signal_score < 70 THEN 'soon: compare ground stations, signal points are below 70' END,
+  CASE WHEN sensor_score < 80 THEN 'soon: test the sensors, one in five readings or more came from a faulty one' END,
+  CASE WHEN cpu_score < 50 THEN 'soon: move work off the processor, its points are below 50' END,
+  CASE WHEN memory_score < 50 THEN 'soon: release memory, its points are below 50' END)"""
 
 EVENTS = """a_std AS (
   SELECT satellite_id, stddev_samp(temperature_c) AS st, stddev_samp(battery_pct) AS sb,

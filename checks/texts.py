@@ -9,8 +9,7 @@ from checks.sql_parts import ADVICE, EVENTS, health
 from fleetgauge.operators import anomaly, forest
 from fleetgauge.plans import explain, reports
 
-_LIGHT = "CASE WHEN {0} >= 70 THEN 'Green' WHEN {0} >= 40 THEN 'Orange' ELSE 'Red' END"
-_STATUS = {metric: status for metric, _, _, status in _METRICS}
+_LIGHT = "CASE WHEN {0} >= 70 THEN 'green' WHEN {0} >= 40 THEN 'orange' ELSE 'red' END"
 
 
 @query("analytics_report")
@@ -44,7 +43,7 @@ def _(t: Tables):
 def _(t: Tables):
     flagged = forest.isolation_forest_score(t.telemetry)
     inputs = reports.explain_inputs(t.telemetry, flagged=flagged)
-    document = reports.report_document(inputs, explain.explain_student())
+    document = reports.report_document(inputs, explain.text_of("student"))
     return document.select("satellite_id", F.to_json(F.struct(*document.columns[1:])).alias("document"))
 
 
@@ -58,22 +57,17 @@ def _(t: Tables):
     return explain.explain(reports.explain_inputs(t.telemetry), "scientist")
 
 
-STUDENT = f"""WITH {health()}, advised AS (SELECT *, string_split(coalesce(nullif({ADVICE}, ''),
-    'All systems are nominal. Nothing needs to be done now.'), ' | ') AS tips FROM health)
+_NONE = "none: no metric is below its limit"
+_LIGHTS = " || chr(10) || ".join(f"'{m} is on ' || {_LIGHT.format(score)} || '.'" for m, score, _, _ in _METRICS)
+STUDENT = f"""WITH {health()}, advised AS (SELECT *, (SELECT count(*) FROM telemetry x WHERE x.satellite_id = health.satellite_id) AS n,
+    coalesce(nullif({ADVICE}, ''), '{_NONE}') AS tips FROM health)
 FINALLY
-SELECT satellite_id, 'student' AS mode, 'Satellite ' || satellite_id || ' Report' || chr(10) || chr(10)
-  || 'Health: ' || printf('%.0f', round(health_score, 0)) || '/100 - '
-  || CASE WHEN health_score >= 90 THEN 'Excellent!' || chr(10) || 'Everything on the satellite works very well.'
-          WHEN health_score >= 70 THEN 'Good' || chr(10)
-            || 'The satellite works well. A few systems have small problems to keep an eye on.'
-          WHEN health_score >= 40 THEN 'Needs Attention' || chr(10)
-            || 'The satellite needs attention. Some systems do not work as they should.'
-          ELSE 'Critical!' || chr(10) || 'The satellite needs help at once. Important systems do not work properly.' END
-  || chr(10) || chr(10) || 'System Status:'
-  || chr(10) || '  Battery: ' || {_STATUS['battery_pct']} || ' (' || {_LIGHT.format('battery_score')} || ')'
-  || chr(10) || '  Temperature: ' || {_STATUS['temperature_c']} || ' (' || {_LIGHT.format('temperature_score')} || ')'
-  || chr(10) || '  Signal: ' || {_STATUS['signal_strength_dbm']} || ' (' || {_LIGHT.format('signal_score')} || ')'
-  || chr(10) || chr(10) || 'What to do:' || chr(10) || '  - ' || array_to_string(tips[1:3], chr(10) || '  - ') AS explanation
+SELECT satellite_id, 'student' AS mode, satellite_id || ' has ' || printf('%.1f', round(health_score, 1)) || ' of 100 health points (' || status
+  || ') over ' || n || ' readings.' || chr(10)
+  || CASE WHEN health_score >= 90 THEN 'Nearly all metrics are where they should be.'
+          WHEN health_score >= 70 THEN 'On the whole the metrics are sound, but some cost points.'
+          WHEN health_score >= 40 THEN 'Several metrics cost many points.' ELSE 'Most of the points are lost.' END || chr(10)
+  || {_LIGHTS} || chr(10) || 'Advice: ' || replace(tips, ' | ', chr(10) || 'Advice: ') AS explanation
 FROM advised"""
 
 
@@ -95,23 +89,20 @@ def _(t: Tables):
   SELECT *, row_number() OVER (PARTITION BY satellite_id ORDER BY rule, timestamp, id) AS place,
     count(*) OVER (PARTITION BY satellite_id) AS n FROM events_found
 ), items AS (
-  SELECT satellite_id, place, n, '[' || severity || '] ' || CASE type
-    WHEN 'temperature_spike' THEN 'The temperature rose suddenly. Thermal control may be strained, or heat comes from outside.'
-    WHEN 'battery_drop' THEN 'The battery lost charge quickly. The power system may be failing, or something draws more power.'
-    WHEN 'signal_loss' THEN 'The signal got much weaker. The antenna may be off target, or something disturbs the link.'
-    WHEN 'cpu_overload' THEN 'The processor load peaked. The onboard computer may have too much to do.'
-    ELSE 'Memory use peaked. The memory left may not be enough for the work at hand.' END
-    || chr(10) || '  Metric: ' || metric || ' = ' || printf('%.2f', round(value, 2)) || ' ' || unit
-    || chr(10) || '  Time: ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
-    || CASE WHEN epoch_us(timestamp) % 1000000 = 0 THEN '' ELSE strftime(timestamp, '.%f') END || chr(10) AS text
+  SELECT satellite_id, place, n, strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+    || CASE WHEN epoch_us(timestamp) % 1000000 = 0 THEN '' ELSE strftime(timestamp, '.%f') END
+    || ' ' || metric || ' ' || printf('%.2f', round(value, 2)) || ' ' || unit || ': ' || CASE type
+    WHEN 'temperature_spike' THEN 'more than 3 deviations above the mean of 20 readings'
+    WHEN 'battery_drop' THEN 'more than 2 points below the reading before'
+    WHEN 'signal_loss' THEN 'more than 15 dBm below the mean of 20 readings'
+    ELSE 'above the limit of 95 %' END || ' (' || severity || ')' AS line
   FROM placed WHERE place <= 10
 ), written AS (
-  SELECT satellite_id, 'Anomaly Detection Report — ' || any_value(n) || ' events found' || chr(10) || chr(10)
-    || string_agg(text, chr(10) ORDER BY place)
-    || CASE WHEN any_value(n) > 10 THEN chr(10) || '... and ' || (any_value(n) - 10) || ' more events.' ELSE '' END AS explanation
+  SELECT satellite_id, any_value(n) || ' readings broke a rule' || CASE WHEN any_value(n) > 10 THEN '; the first 10' ELSE '' END || ':' || chr(10)
+    || string_agg(line, chr(10) ORDER BY place) AS explanation
   FROM items GROUP BY satellite_id)
 FINALLY
-SELECT satellite_id, coalesce(explanation, 'No anomalies were found in the observed period.') AS explanation
+SELECT satellite_id, coalesce(explanation, '0 readings broke a rule.') AS explanation
 FROM (SELECT satellite_id FROM satellites UNION SELECT satellite_id FROM telemetry) LEFT JOIN written USING (satellite_id)""",
 )
 def _(t: Tables):
@@ -119,14 +110,20 @@ def _(t: Tables):
     return explain.explain_anomalies(anomaly.detect_statistical(t.telemetry), every)
 
 
+_ENTRIES = " || '; ' || ".join(
+    f"'{m} ' || printf('%.1f', round({m}, 1)) || ' {unit} ' || {status}" for m, _, unit, status in _METRICS
+)
+
+
 @query(
     "insight_card",
-    f"""WITH {health()}, advised AS (SELECT satellite_id, coalesce(nullif({ADVICE}, ''),
-    'All systems are nominal. Nothing needs to be done now.') AS summary FROM health)
+    f"""WITH {health()}, advised AS (SELECT satellite_id, coalesce(nullif({ADVICE}, ''), '{_NONE}') AS summary,
+    {_ENTRIES} AS metrics FROM health)
 FINALLY
-SELECT satellite_id, 'Fleet health' AS title, 8 AS metrics, summary FROM advised""",
+SELECT satellite_id, 'Fleet health' AS title, '2024-01-02T03:04:05' AS timestamp, metrics, string_split(summary, ' | ') AS insights, summary FROM advised""",
 )
 def _(t: Tables):
     inputs = reports.explain_inputs(t.telemetry)
-    card = explain.insight_card(inputs, "Fleet health", F.col("recommendations"))
-    return card.select("satellite_id", "title", F.size("metrics").alias("metrics"), "summary")
+    card = explain.insight_card(inputs, "Fleet health", F.col("recommendations"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    entry = lambda m: F.concat(m["metric"], F.lit(" "), F.format_string("%.1f", m["value"]), F.lit(" "), m["unit"], F.lit(" "), m["status"])
+    return card.withColumn("metrics", F.array_join(F.transform("metrics", entry), "; "))

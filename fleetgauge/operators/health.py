@@ -15,17 +15,14 @@ from fleetgauge.operators.select import active_satellites, latest_readings
 
 # Advice by metric: (score below which it is given, text), the sharper one first.
 ADVICE = [
-    ("battery_pct", [(50, "Critical: battery charge is low. Save power and pause work that can wait."),
-                     (70, "Warning: the battery is weakening. Keep an eye on its charging cycles.")]),
-    ("temperature_c", [(50, "Critical: temperature is outside the safe range. Inspect thermal control now."),
-                       (70, "Warning: temperature is leaving its best range. Review thermal control.")]),
-    ("signal_strength_dbm", [(50, "Critical: the signal is weak. Check antenna pointing and the radio."),
-                             (70, "Warning: the signal is fading. Watch the quality of the link.")]),
-    ("sensor_status", [(80, "Warning: some sensors may have failed. Run their diagnostics.")]),
-    ("cpu_usage_pct", [(50, "Warning: CPU load is far too high. Look for runaway processes.")]),
-    ("memory_usage_pct", [(50, "Warning: memory is nearly used up. Free memory or plan a restart.")]),
+    ("battery_pct", [(50, "urgent: charge before further work, battery points are below 50"), (70, "soon: plan a longer charge, battery points are below 70")]),
+    ("temperature_c", [(50, "urgent: bring the temperature back, its points are below 50"), (70, "soon: look at heating and cooling, temperature points are below 70")]),
+    ("signal_strength_dbm", [(50, "urgent: test the radio link, signal points are below 50"), (70, "soon: compare ground stations, signal points are below 70")]),
+    ("sensor_status", [(80, "soon: test the sensors, one in five readings or more came from a faulty one")]),
+    ("cpu_usage_pct", [(50, "soon: move work off the processor, its points are below 50")]),
+    ("memory_usage_pct", [(50, "soon: release memory, its points are below 50")]),
 ]
-NO_ADVICE = "All systems are nominal. Nothing needs to be done now."
+NO_ADVICE = "none: no metric is below its limit"
 
 
 def metric_means(df: DataFrame, *, keys: Sequence[str | Column] = KEYS) -> DataFrame:

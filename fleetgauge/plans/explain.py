@@ -1,33 +1,37 @@
-"""Explanation texts as Columns over the rows of `explain_inputs`."""
+"""Explanation texts as Columns over the rows of `explain_inputs`.
+
+A text is a list of facts, one sentence a line. Each topic turns what was measured into sentences; a
+mode is a choice of topics for a reader.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge import constants as C
 from fleetgauge.functions.scalars import health_category, iso_time, traffic_light
 from fleetgauge.operators.anomaly import first_anomalies
 from fleetgauge.operators.grouping import KEYS, join_groups
 
-KEY_METRICS = {"battery_pct": ("Battery", "%"), "temperature_c": ("Temperature", "°C"), "signal_strength_dbm": ("Signal", " dBm")}
-
+#: What each rule has measured.
 EVENT_TEXTS = {
-    "temperature_spike": "The temperature rose suddenly. Thermal control may be strained, or heat comes from outside.",
-    "battery_drop": "The battery lost charge quickly. The power system may be failing, or something draws more power.",
-    "signal_loss": "The signal got much weaker. The antenna may be off target, or something disturbs the link.",
-    "cpu_overload": "The processor load peaked. The onboard computer may have too much to do.",
-    "memory_overload": "Memory use peaked. The memory left may not be enough for the work at hand.",
+    "temperature_spike": f"more than {C.TEMPERATURE_SPIKE_STD:g} deviations above the mean of {C.ROLLING_READINGS} readings",
+    "battery_drop": f"more than {-C.BATTERY_DROP:g} points below the reading before",
+    "signal_loss": f"more than {-C.SIGNAL_LOSS:g} dBm below the mean of {C.ROLLING_READINGS} readings",
+    "cpu_overload": f"above the limit of {C.CPU_OVERLOAD:g} %",
+    "memory_overload": f"above the limit of {C.MEMORY_OVERLOAD:g} %",
 }
-NO_EVENTS = "No anomalies were found in the observed period."
-
-STUDENT_HEALTH = [
-    (90, "Excellent!", "Everything on the satellite works very well."),
-    (70, "Good", "The satellite works well. A few systems have small problems to keep an eye on."),
-    (40, "Needs Attention", "The satellite needs attention. Some systems do not work as they should."),
-    (None, "Critical!", "The satellite needs help at once. Important systems do not work properly."),
+NO_EVENTS = "0 readings broke a rule."
+
+#: Least score of a band, and what a score of that size says about the weighted metrics.
+SCORE_MEANINGS = [
+    (90, "Nearly all metrics are where they should be."),
+    (70, "On the whole the metrics are sound, but some cost points."),
+    (40, "Several metrics cost many points."),
+    (None, "Most of the points are lost."),
 ]
 
 
@@ -35,177 +39,123 @@ def number(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(value, digits))
 
 
-def _lines(*lines: Column | str) -> Column:
-    return F.array_compact(F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines]))
+def _sentence(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def _section(title: str, lines: Column, shown: Column | None = None, blank: bool = True) -> Column:
-    """A headed block of lines, left out when it has none."""
-    head = F.array(F.lit(""), F.lit(title)) if blank else F.array(F.lit(title))
-    lines = F.coalesce(lines, F.array().cast("array<string>"))
-    shown = F.size(lines) > 0 if shown is None else shown
-    return F.when(shown, F.concat(head, lines)).otherwise(F.array().cast("array<string>"))
+def _each(items: str, fact: Callable[[Column], Column]) -> Column:
+    """One fact per item, none for a null list."""
+    return F.coalesce(F.transform(items, fact), F.array().cast("array<string>"))
 
 
-def _metric(name: str) -> Column:
-    return F.filter("metrics", lambda m: m["metric"] == name)[0]
+def verdict() -> Column:
+    return F.array(
+        _sentence(
+            F.col("satellite_id"), " has ", number(F.col("health_score"), 1), " of 100 health points (",
+            health_category(F.col("health_score")), ") over ", F.col("record_count").cast("string"), " readings.",
+        )
+    )
 
 
-def _text(*parts: Column) -> Column:
-    return F.array_join(F.concat(*parts), "\n")
+def meaning() -> Column:
+    text = F.lit(SCORE_MEANINGS[-1][1])
+    for least, says in reversed(SCORE_MEANINGS[:-1]):
+        text = F.when(F.col("health_score") >= least, F.lit(says)).otherwise(text)
+    return F.array(text)
 
 
-def explain_engineer() -> Column:
-    score = F.col("health_score")
-    head = _lines(
-        "=== Telemetry Analysis Report ===",
-        F.concat(F.lit("Timestamp: "), iso_time(F.current_timestamp())),
-        F.concat(F.lit("Satellite: "), F.col("satellite_id")),
-        F.concat(F.lit("Overall Health Score: "), number(score, 1), F.lit("/100 ("), health_category(score), F.lit(")")),
-        "",
-    )
-    metrics = F.transform(
-        F.filter("metrics", lambda m: m["score"].isNotNull()),
-        lambda m: F.concat(
-            F.lit("  "), m["metric"], F.lit(": "), number(m["value"], 1), F.lit(" "), m["unit"],
-            F.lit(" | Score: "), number(m["score"], 1), F.lit(" | Status: "), m["status"],
-        ),
-    )
-    statistics = F.transform(
-        F.slice("statistics", 1, 5),
-        lambda s: F.concat(
-            F.lit("  "), s["metric"], F.lit(": mean="), number(s["mean"], 4), F.lit(", std="),
-            F.coalesce(number(s["std"], 4), F.lit("N/A")),
-        ),
-    )
-    trends = F.transform(
-        "trends",
-        lambda t: F.concat(
-            F.lit("  "), t["metric"], F.lit(": "), t["direction"], F.lit(" (slope: "), number(t["slope"], 4), F.lit(")")
-        ),
-    )
+def events() -> Column:
     found = F.col("anomalies")
-    anomalies = _lines(
-        F.concat(F.lit("  Total Anomalies: "), found["total_anomalies"].cast("string")),
-        F.concat(F.lit("  Severity: "), found["severity"]),
-        F.concat(F.lit("  "), found["summary"]),
-    )
-    related = F.transform(
-        F.slice("relationships", 1, 5),
-        lambda r: F.concat(
-            F.lit("  "), r["name"], F.lit(": r="), number(r["correlation"], 3),
-            F.lit(" ("), r["strength"], F.lit(" "), r["direction"], F.lit(")"),
-        ),
-    )
-    tips = F.transform("recommendations", lambda t: F.concat(F.lit("  - "), t))
-    return _text(
-        head,
-        _section("--- Metric Analysis ---", metrics, blank=False),
-        _section("--- Statistical Summary ---", statistics),
-        _section("--- Trend Analysis ---", trends),
-        _section("--- Anomaly Report ---", anomalies, F.coalesce(found["total_anomalies"] > 0, F.lit(False))),
-        _section("--- Key Correlations ---", related),
-        _section("--- Recommendations ---", tips),
-    )
+    many = F.coalesce(found["total_anomalies"], F.lit(0))
+    broken = _sentence(many.cast("string"), " readings broke a rule, severity ", found["severity"], ".")
+    return F.array(F.when(many > 0, broken).otherwise(F.lit(NO_EVENTS)))
 
 
-def explain_scientist() -> Column:
-    score = F.col("health_score")
-    head = _lines(
-        "Scientific Telemetry Report",
-        F.concat(F.lit("Satellite: "), F.col("satellite_id")),
-        F.concat(F.lit("Health Score: "), number(score, 1), F.lit("/100 — "), health_category(score)),
-        "",
-    )
-    values = _lines(
-        *[
-            F.concat(F.lit(f"  {label}: "), number(_metric(m)["value"], 1), F.lit(f"{unit} — "), _metric(m)["status"])
-            for m, (label, unit) in KEY_METRICS.items()
-        ]
-    )
-    shapes = F.transform(
-        "distributions",
-        lambda d: F.concat(
-            F.lit("  "), d["metric"], F.lit(": "), d["distribution_type"], F.lit(" (skew="),
-            number(d["skewness"], 2), F.lit(", kurt="), number(d["kurtosis"], 2), F.lit(")"),
-        ),
+def metrics() -> Column:
+    scored = F.filter("metrics", lambda m: m["score"].isNotNull())
+    fact = lambda m: _sentence(m["metric"], " averages ", number(m["value"], 1), " ", m["unit"], " and earns ", number(m["score"], 1), " points.")
+    return F.coalesce(F.transform(scored, fact), F.array().cast("array<string>"))
+
+
+def lights() -> Column:
+    scored = F.filter("metrics", lambda m: m["score"].isNotNull())
+    return F.coalesce(
+        F.transform(scored, lambda m: _sentence(m["metric"], " is on ", F.lower(traffic_light(m["score"])), ".")),
+        F.array().cast("array<string>"),
     )
-    return _text(
-        head, _section("Key Telemetry Values:", values, blank=False),
-        _section("Distribution Characteristics:", shapes),
+
+
+def spreads() -> Column:
+    return _each(
+        "statistics",
+        lambda s: _sentence(s["metric"], " lies at ", number(s["mean"], 4), " with a deviation of ", F.coalesce(number(s["std"], 4), F.lit("none")), "."),
     )
 
 
-def explain_student() -> Column:
-    score = F.col("health_score")
+def trends() -> Column:
+    return _each("trends", lambda t: _sentence(t["metric"], " is ", t["direction"], " at ", number(t["slope"], 4), " a reading."))
 
-    def pick(part: int) -> Column:
-        (*upper, last) = STUDENT_HEALTH
-        result = None
-        for band in upper:
-            text = F.lit(band[part])
-            result = F.when(score >= band[0], text) if result is None else result.when(score >= band[0], text)
-        return result.otherwise(F.lit(last[part]))
 
-    head = _lines(
-        F.concat(F.lit("Satellite "), F.col("satellite_id"), F.lit(" Report")), "",
-        F.concat(F.lit("Health: "), number(score, 0), F.lit("/100 - "), pick(1)), pick(2),
+def shapes() -> Column:
+    return _each(
+        "distributions",
+        lambda d: _sentence(d["metric"], " is ", d["distribution_type"], ": skewness ", number(d["skewness"], 2), ", excess kurtosis ", number(d["kurtosis"], 2), "."),
     )
-    lights = _lines(
-        *[
-            F.concat(
-                F.lit(f"  {label}: "), _metric(m)["status"], F.lit(" ("), traffic_light(_metric(m)["score"]), F.lit(")")
-            )
-            for m, (label, _) in KEY_METRICS.items()
-        ]
+
+
+def relations() -> Column:
+    return _each(
+        "relationships",
+        lambda r: _sentence(r["name"], " correlate at ", number(r["correlation"], 3), ", which is ", r["strength"], " and ", r["direction"], "."),
     )
-    tips = F.transform(F.slice("recommendations", 1, 3), lambda t: F.concat(F.lit("  - "), t))
-    return _text(head, _section("System Status:", lights), _section("What to do:", tips))
 
 
-# Users may add a mode: a name and a function that returns the text.
-MODES: dict[str, Callable[[], Column]] = {
-    "engineer": explain_engineer, "scientist": explain_scientist, "student": explain_student,
+def tips() -> Column:
+    return _each("recommendations", lambda t: _sentence("Advice: ", t))
+
+
+# Users may add a mode: a name and the topics of its text.
+MODES: dict[str, list[Callable[[], Column]]] = {
+    "engineer": [verdict, events, tips, metrics, trends, spreads, relations],
+    "scientist": [verdict, shapes, spreads, relations],
+    "student": [verdict, meaning, lights, tips],
 }
 
 
+def text_of(mode: str) -> Column:
+    """The text of a mode; an unknown one gets the engineer's."""
+    return F.array_join(F.concat(*[topic() for topic in MODES.get(mode, MODES["engineer"])]), "\n")
+
+
 def explain(inputs: DataFrame, mode: str = "engineer") -> DataFrame:
-    """The explanation of each satellite; an unknown mode gets the engineer's."""
-    text = MODES.get(mode, explain_engineer)()
-    return inputs.select("satellite_id", F.lit(mode).alias("mode"), text.alias("explanation"))
+    return inputs.select("satellite_id", F.lit(mode).alias("mode"), text_of(mode).alias("explanation"))
 
 
 def explain_anomalies(events: DataFrame, satellites: DataFrame | None = None, shown: int = 10) -> DataFrame:
-    """Text on the first events of each satellite; `satellites` adds those without any event."""
-    texts = F.create_map(*[F.lit(x) for x in chain.from_iterable(EVENT_TEXTS.items())])
-    other = F.concat(F.lit("Anomaly of type '"), F.col("type"), F.lit("' detected."))
-    text = F.concat(
-        F.lit("["), F.col("severity"), F.lit("] "), F.coalesce(F.try_element_at(texts, F.col("type")), other),
-        F.lit("\n  Metric: "), F.col("metric"), F.lit(" = "), number(F.col("value"), 2), F.lit(" "), F.col("unit"),
-        F.lit("\n  Time: "), iso_time(F.col("timestamp")), F.lit("\n"),
+    """The first events of each satellite, a line each; `satellites` adds those without any event."""
+    how = F.coalesce(
+        *[F.when(F.col("type") == kind, F.lit(says)) for kind, says in EVENT_TEXTS.items()], _sentence("caught by the rule ", F.col("type"))
     )
-    first = first_anomalies(events, shown).withColumn("text", text)
-    listed = first.groupBy("satellite_id").agg(
-        F.sort_array(F.collect_list(F.struct("place", "text"))).alias("items"), F.max("events").alias("events"),
-        F.max("more").alias("more"),
+    line = _sentence(
+        iso_time(F.col("timestamp")), " ", F.col("metric"), " ", number(F.col("value"), 2), " ", F.col("unit"), ": ", how, " (", F.col("severity"), ")"
     )
-    more = F.when(
-        F.col("more") > 0, F.array(F.concat(F.lit("... and "), F.col("more").cast("string"), F.lit(" more events.")))
-    ).otherwise(F.array().cast("array<string>"))
-    head = _lines(
-        F.concat(F.lit("Anomaly Detection Report — "), F.col("events").cast("string"), F.lit(" events found")), ""
+    first = first_anomalies(events, shown).withColumn("line", line)
+    listed = first.groupBy("satellite_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("items"), F.max("events").alias("events"), F.max("more").alias("more"),
     )
-    report = listed.select("satellite_id", _text(head, F.col("items.text"), more).alias("explanation"))
+    count = _sentence(F.col("events").cast("string"), " readings broke a rule")
+    head = F.when(F.col("more") > 0, _sentence(count, "; the first ", F.size("items").cast("string"), ":")).otherwise(_sentence(count, ":"))
+    report = listed.select("satellite_id", F.array_join(F.concat(F.array(head), F.col("items.line")), "\n").alias("explanation"))
     if satellites is None:
         return report
     every = satellites.select("satellite_id").distinct()
     return join_groups(every, report, KEYS).withColumn("explanation", F.coalesce("explanation", F.lit(NO_EVENTS)))
 
 
-def insight_card(inputs: DataFrame, title: str, insights: Column) -> DataFrame:
-    """Title, time, metrics, insights, and the insights joined by a bar."""
-    joined = F.when(F.size(insights) > 0, F.array_join(insights, " | ")).otherwise("All systems nominal.")
+def insight_card(inputs: DataFrame, title: str, insights: Column, written: Column | None = None) -> DataFrame:
+    """Title, time of writing, metrics, insights, and the insights in one line."""
+    joined = F.when(F.size(insights) > 0, F.array_join(insights, " | ")).otherwise("Nothing to report.")
     return inputs.select(
-        "satellite_id", F.lit(title).alias("title"), iso_time(F.current_timestamp()).alias("timestamp"),
+        "satellite_id", F.lit(title).alias("title"), iso_time(F.current_timestamp() if written is None else written).alias("timestamp"),
         "metrics", insights.alias("insights"), joined.alias("summary"),
     )
