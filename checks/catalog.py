@@ -38,7 +38,7 @@ class Tables:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return demo.scenario_windows(self.spark)
+        return demo.scenario_windows(self.spark, self.folder)
 
     def scratch(self) -> str:
         return shared_folder(self.spark)

@@ -64,26 +64,40 @@ def _(t: Tables):
     return advice.withColumn("recommendations", F.array_join("recommendations", " | "))
 
 
-FLEET = f"""WITH newest AS (SELECT *, row_number() OVER (PARTITION BY satellite_id ORDER BY timestamp DESC, id DESC) AS recency
-  FROM telemetry WHERE satellite_id IN (SELECT satellite_id FROM satellites WHERE status = 'active')
-), near AS (SELECT * FROM newest WHERE recency <= 200), {health('near')}
+def _fleet(source: str) -> str:
+    return f"""WITH near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY satellite_id ORDER BY timestamp DESC, id DESC) AS recency
+  FROM telemetry WHERE satellite_id IN (SELECT satellite_id FROM satellites WHERE status = 'active')) AS r{source}), {health('near')}
 FINALLY
 """
 
 
-@query(
-    "fleet_overview",
-    FLEET + """SELECT count(*) AS total_satellites, count(h.health_score) AS analyzed,
+OVERVIEW = """SELECT count(*) AS total_satellites, count(h.health_score) AS analyzed,
   count(CASE WHEN h.status = 'Excellent' THEN 1 END) AS excellent, count(CASE WHEN h.status = 'Good' THEN 1 END) AS good,
   count(CASE WHEN h.status = 'Warning' THEN 1 END) AS warning, count(CASE WHEN h.status = 'Critical' THEN 1 END) AS critical,
-  round(avg(h.health_score), 1) AS average_health,
+  coalesce(round(avg(h.health_score), 1), 0E0) AS average_health,
   count(CASE WHEN h.status IN ('Excellent', 'Good') THEN 1 END) AS healthy,
   count(CASE WHEN h.status IN ('Warning', 'Critical') THEN 1 END) AS attention
+FROM (SELECT satellite_id FROM satellites WHERE status = 'active') LEFT JOIN health h USING (satellite_id)"""
+
+
+@query("fleet_overview", _fleet("") + OVERVIEW, doubles="average_health")
+def _(t: Tables):
+    return fleet.fleet_overview(t.satellites, t.telemetry)
+
+
+@query("fleet_overview_newest", _fleet(" WHERE recency <= 200") + OVERVIEW, doubles="average_health")
+def _(t: Tables):
+    return fleet.fleet_overview(t.satellites, t.telemetry, rows=200)
+
+
+@query(
+    "fleet_satellites",
+    _fleet("") + """SELECT satellite_id, h.health_score, h.status
 FROM (SELECT satellite_id FROM satellites WHERE status = 'active') LEFT JOIN health h USING (satellite_id)""",
-    doubles="average_health",
+    doubles="health_score",
 )
 def _(t: Tables):
-    return fleet.fleet_overview(t.satellites, t.telemetry)
+    return fleet.fleet_satellites(t.satellites, t.telemetry)
 
 
 @query(

@@ -264,7 +264,15 @@ FINALLY
 SELECT satellite_id, id, recency FROM placed WHERE recency <= 200""",
 )
 def _(t: Tables):
-    return fleet.fleet_join(t.satellites, t.telemetry).select("satellite_id", "id", "recency")
+    return fleet.fleet_join(t.satellites, t.telemetry, 200).select("satellite_id", "id", "recency")
+
+
+@query(
+    "fleet_readings",
+    "SELECT satellite_id, id FROM telemetry WHERE satellite_id IN (SELECT satellite_id FROM satellites WHERE status = 'active')",
+)
+def _(t: Tables):
+    return fleet.fleet_join(t.satellites, t.telemetry).select("satellite_id", "id")
 
 
 @query(

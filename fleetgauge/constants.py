@@ -79,6 +79,8 @@ FOREST_FEATURES = [
     "memory_usage_pct", "signal_strength_dbm", "radiation_level",
     "gyro_x", "gyro_y", "gyro_z", "accel_x", "accel_y", "accel_z",
 ]
+
+# Names of the event types, part of the summaries' format.
 ANOMALY_LABELS = {
     "temperature_spike": "temperature spikes", "battery_drop": "rapid battery drops",
     "signal_loss": "signal degradation events", "cpu_overload": "CPU overload events",

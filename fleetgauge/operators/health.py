@@ -123,21 +123,27 @@ def health_report(df: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def fleet_join(
-    registry: DataFrame, df: DataFrame, rows: int | None = 200
-) -> DataFrame:
-    """The newest readings of every active satellite (all of them with `rows=None`)."""
+def fleet_join(registry: DataFrame, df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The readings of every active satellite, or its newest `rows` ones."""
     active = active_satellites(registry).select("satellite_id")
     readings = df.join(active, "satellite_id", "left_semi")
     return latest_readings(readings, rows) if rows else readings
 
 
-def fleet_overview(registry: DataFrame, df: DataFrame, rows: int | None = 200) -> DataFrame:
-    """Fleet totals, satellites per health band, and the mean health: one row."""
+def fleet_satellites(registry: DataFrame, df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Score and status of every active satellite, nulls for those without readings."""
     health = overall_health(fleet_join(registry, df, rows))
     active = active_satellites(registry).select("satellite_id").distinct()
+    return active.join(health, "satellite_id", "left").select("satellite_id", "health_score", "status")
+
+
+def fleet_overview(registry: DataFrame, df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Fleet totals, satellites per health band, and the mean health: one row.
+
+    By default over all readings, which needs one partial aggregate; with `rows` over the newest ones.
+    """
     status = {name.lower(): F.count_if(F.col("status") == name) for _, name, _, _ in C.HEALTH_BANDS}
-    totals = active.join(health, "satellite_id", "left").agg(
+    totals = fleet_satellites(registry, df, rows).agg(
         F.count(F.lit(1)).alias("total_satellites"), F.count("health_score").alias("analyzed"),
         *[count.alias(name) for name, count in status.items()],
         F.coalesce(F.round(F.avg("health_score"), 1), F.lit(0.0)).alias("average_health"),

@@ -32,11 +32,14 @@ def satellites_with_data(registry: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def register_satellite(registry: DataFrame, records: DataFrame) -> DataFrame:
-    """Adds records whose id is new and whose id and name are set, the first of equal ids."""
+    """Adds records whose id is new and whose id and name are set, one of equal ids."""
     named = records.where(
         (F.coalesce(F.col("satellite_id"), F.lit("")) != "") & (F.coalesce(F.col("name"), F.lit("")) != "")
     )
-    new = named.join(registry, "satellite_id", "left_anti").dropDuplicates(["satellite_id"])
+    fresh = named.join(registry, "satellite_id", "left_anti")
+    # Of equal ids the record that sorts first, column by column.
+    others = [c for c in fresh.columns if c != "satellite_id"]
+    new = fresh.groupBy("satellite_id").agg(F.min(F.struct(*others)).alias("_first")).select("satellite_id", "_first.*")
     if "registered_at" in registry.columns and "registered_at" not in new.columns:
         new = new.withColumn("registered_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
     return registry.unionByName(new, allowMissingColumns=True)
@@ -44,9 +47,8 @@ def register_satellite(registry: DataFrame, records: DataFrame) -> DataFrame:
 
 def update_status(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """Sets status and updated_at of the satellites in `changes` (satellite_id, status)."""
-    new = changes.dropDuplicates(["satellite_id"]).select(
-        F.col("satellite_id").alias("_id"), F.col("status").alias("_status")
-    )
+    # Of several changes of a satellite the status that sorts first.
+    new = changes.groupBy(F.col("satellite_id").alias("_id")).agg(F.min("status").alias("_status"))
     joined = registry.join(new, F.col("satellite_id") == F.col("_id"), "left")
     old = F.col("updated_at") if "updated_at" in registry.columns else F.lit(None).cast("string")
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")

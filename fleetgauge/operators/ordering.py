@@ -98,8 +98,7 @@ def over_readings(
     spread = spread_of(df, keys, split)
     if not spread.split:
         return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
-    if max(before, after) > chunk_rows:
-        raise ValueError("a window may not be wider than a chunk")
+    chunk_rows = max(chunk_rows, before, after)
     rows = reading_index(df, keys=keys, order=order, name="_position", split=spread)
     home = F.floor(F.col("_position") / F.lit(chunk_rows))
     offset = F.col("_position") % F.lit(chunk_rows)

@@ -14,7 +14,6 @@ from fleetgauge.operators.grouping import KEYS, Spread, ordering, present, sprea
 from fleetgauge.operators.ordering import reading_index
 
 # Above this, Spark no longer cuts groups to their newest rows before the shuffle.
-_EARLY_LIMIT = 1000
 _SALTS = 256
 
 
@@ -120,15 +119,14 @@ def satellite_ids(df: DataFrame) -> DataFrame:
 def latest_readings(df: DataFrame, rows: int = 500, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """The newest rows of each satellite, the newest first by `recency`.
 
-    Spark keeps only the newest rows of each group in every task before it shuffles. Longer lists
-    are cut in two steps instead, the first over many parts of a group.
+    Cut in two steps, the first over many parts of each satellite, so that no task gets more than
+    `rows` rows of a part from each task before it, or of each part.
     """
     newest = [F.col(c).desc() for c in ordering(df)]
-    if rows > _EARLY_LIMIT:
-        part = Window.partitionBy(*keys, "_part").orderBy(*newest)
-        salt = F.pmod(F.xxhash64(*ordering(df)), F.lit(_SALTS))
-        df = df.withColumn("_part", salt).withColumn("_in_part", F.row_number().over(part))
-        df = df.where(F.col("_in_part") <= rows).drop("_part", "_in_part")
+    part = Window.partitionBy(*keys, "_part").orderBy(*newest)
+    salt = F.pmod(F.xxhash64(*ordering(df)), F.lit(_SALTS))
+    df = df.withColumn("_part", salt).withColumn("_in_part", F.row_number().over(part))
+    df = df.where(F.col("_in_part") <= rows).drop("_part", "_in_part")
     ranked = df.withColumn("recency", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)))
     return ranked.where(F.col("recency") <= rows)
 

@@ -21,6 +21,7 @@ def missing_columns(df: DataFrame, expected: Sequence[str] = C.EXPECTED_COLUMNS)
     return [c for c in expected if c not in df.columns]
 
 
+# The wording of the issues in this module is part of the reports' format.
 def dtype_issues(df: DataFrame, numeric: Sequence[str] = C.MUST_BE_NUMERIC) -> list[str]:
     wrong = [
         f.name for f in df.schema.fields

@@ -75,13 +75,17 @@ REGISTRY_COLUMNS = {
                   " WHEN 3 THEN 'MEO' ELSE 'GEO' END",
     "status": "CASE s_suppkey % 4 WHEN 3 THEN 'standby' ELSE 'active' END",
 }
-REGISTRY_ROWS = "s_suppkey <= 40 AND s_suppkey NOT IN (7, 13)"
-SCENARIO_ROWS = """(VALUES
-  ('SAT-0001', 'battery_degradation', 150, 200, 8E-1),
-  ('SAT-0002', 'temperature_spike', 250, 75, 9E-1),
-  ('SAT-0003', 'signal_loss', 300, 100, 7E-1),
-  ('SAT-0003', 'sensor_failure', 325, 75, 1E0)
-) AS v(satellite_id, type, start_index, duration, severity)"""
+# One labelled interval per supplier, and for every third one another that overlaps it.
+_KINDS = "CASE {0} % 4 WHEN 0 THEN 'battery_degradation' WHEN 1 THEN 'temperature_spike' WHEN 2 THEN 'signal_loss' ELSE 'sensor_failure' END"
+WINDOW_COLUMNS = {
+    "satellite_id": REGISTRY_COLUMNS["satellite_id"],
+    "type": _KINDS.format("s_suppkey"),
+    "start_index": "(s_suppkey * 37) % 300",
+    "duration": "20 + (s_suppkey * 11) % 90",
+    "severity": "(50 + (s_suppkey * 7) % 51) / 100E0",
+}
+SECOND_COLUMNS = {**WINDOW_COLUMNS, "type": _KINDS.format("(s_suppkey + 1)"), "start_index": "(s_suppkey * 37) % 300 + 10"}
+SECOND_ROWS = "s_suppkey % 3 = 0"
 
 
 def _texts(columns: dict[str, str]) -> list[str]:
@@ -102,8 +106,9 @@ def sql_views() -> str:
 ), telemetry_dirty AS (
   SELECT {_list(DIRTY_COLUMNS)} FROM telemetry
   UNION ALL SELECT {_list(COPY_COLUMNS)} FROM telemetry WHERE {COPY_ROWS}
-), satellites AS (SELECT {_list(REGISTRY_COLUMNS)} FROM supplier WHERE {REGISTRY_ROWS}
-), scenario_windows AS (SELECT * FROM {SCENARIO_ROWS}
+), satellites AS (SELECT {_list(REGISTRY_COLUMNS)} FROM supplier
+), scenario_windows AS (
+  SELECT {_list(WINDOW_COLUMNS)} FROM supplier UNION ALL SELECT {_list(SECOND_COLUMNS)} FROM supplier WHERE {SECOND_ROWS}
 )"""
 
 
@@ -124,8 +129,9 @@ def telemetry_dirty(spark: SparkSession, folder: str) -> DataFrame:
 
 def satellites(spark: SparkSession, folder: str) -> DataFrame:
     supplier = spark.read.parquet(f"{folder}/supplier.parquet")
-    return supplier.where(REGISTRY_ROWS).selectExpr(*_texts(REGISTRY_COLUMNS))
+    return supplier.selectExpr(*_texts(REGISTRY_COLUMNS))
 
 
-def scenario_windows(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {SCENARIO_ROWS}")
+def scenario_windows(spark: SparkSession, folder: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{folder}/supplier.parquet")
+    return supplier.selectExpr(*_texts(WINDOW_COLUMNS)).unionByName(supplier.where(SECOND_ROWS).selectExpr(*_texts(SECOND_COLUMNS)))

@@ -30,7 +30,7 @@ def test_filter_reaches_the_scan(stored):
 
 
 def test_newest_rows_are_cut_before_the_shuffle(stored):
-    assert plan(latest_readings(stored, 100)).count("WindowGroupLimit") == 2
+    assert plan(latest_readings(stored, 100)).count("WindowGroupLimit") == 4
 
 
 @pytest.mark.parametrize(
