@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,30 +58,50 @@ def coerce_batch(records: DataFrame) -> DataFrame:
     return _as_declared(records, schemas.TELEMETRY).drop("id")
 
 
+def numbered(df: DataFrame, coming: str, first: int) -> DataFrame:
+    """Rows with ids from `first` on, without gaps, however many a partition has.
+
+    They are written to `coming` first: the files and the row numbers in them then give each row its
+    own number, and the same one if a task runs again. The caller removes `coming` when it is done.
+    """
+    df.write.mode("overwrite").parquet(coming)
+    rows = df.sparkSession.read.schema(df.schema).parquet(coming).select("*", "_metadata.file_path", "_metadata.row_index")
+    # One row per file.
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")
+    files = rows.groupBy("file_path").count().select("file_path", offset)
+    placed = rows.join(files, "file_path").withColumn("id", F.col("offset") + F.col("row_index") + first)
+    return placed.drop("file_path", "row_index", "offset")
+
+
+def _append(df: DataFrame, schema: T.StructType, path: str, folders: Sequence[str] = ()) -> None:
+    """Appends; rows without an id get numbers from the present nanosecond on, so no look at the store is needed."""
+    coming = f"{path}/_coming-{uuid.uuid4().hex}"
+    rows = df if "id" in df.columns else numbered(df, coming, time.time_ns())
+    try:
+        _as_declared(rows, schema).write.mode("append").partitionBy(*folders).parquet(path)
+    finally:
+        remove_path(df.sparkSession, coming)
+
+
 def append_telemetry(batch: DataFrame, path: str) -> None:
-    """Appends a batch by column name; rows without an id get the next free ones."""
-    spark = batch.sparkSession
-    if "id" not in batch.columns:
-        batch = generate_ids(batch, _next_id(spark, path))
-    _as_declared(batch, schemas.TELEMETRY).write.mode("append").parquet(path)
+    """Appends a batch by column name; rows without an id get new ones."""
+    _append(batch, schemas.TELEMETRY, path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def _next_id(spark: SparkSession, path: str) -> int:
-    if not _exists(spark, path):
-        return 1
-    last = spark.read.schema(schemas.TELEMETRY).parquet(path).agg(F.max("id")).first()[0]
-    return (last or 0) + 1
+def remove_path(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def write_result_table(df: DataFrame, table: str, path: str) -> None:
     """Appends result rows in the declared schema of the table, one folder per satellite."""
-    rows = df if "id" in df.columns else generate_ids(df)
-    _as_declared(rows, schemas.TABLES[table]).write.mode("append").partitionBy("satellite_id").parquet(path)
+    _append(df, schemas.TABLES[table], path, ["satellite_id"])
 
 
 def read_result_table(spark: SparkSession, table: str, path: str) -> DataFrame:

@@ -1,105 +1,169 @@
-"""Live records into the telemetry store: parse, check, deduplicate, fill, write.
+"""Live records into the telemetry store: parse, check, fill, deduplicate, write, count.
 
-One query with one checkpoint does it all. Sources are throttled by their own limits, so a burst
-waits instead of being dropped, and a batch that failed half-way is written again in full.
+The stream itself keeps no state and has no watermark, so a record may be as late as it likes. What
+is a repeat is decided when a batch is written, against the keys stored for the days it touches. Each
+batch leaves its accepted rows, its rejects with the reason, and one row of counts; a batch that failed
+half-way is written again in full. Sources are throttled by their own limits, so a burst waits.
+A store has one writer at a time; several streams may follow each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetgauge import constants as C
 from fleetgauge import schemas
-from fleetgauge.operators.select import fill_ingest_defaults, is_valid_record, parsed_timestamp
-from fleetgauge.sources.tables import JSON_TIME, coerce_batch, scan_telemetry
+from fleetgauge.operators.select import fill_ingest_defaults, parsed_timestamp
+from fleetgauge.sources.tables import JSON_TIME, coerce_batch, numbered, path_exists, remove_path, scan_telemetry
 
 BatchWriter = Callable[[DataFrame, int], None]
 
-# An id is (batch, partition, row): 26, 14 and 23 bits.
-_ROW_BITS, _PARTITION_BITS = 23, 14
+#: Holds the text of a message that is no record.
+UNREADABLE = "unreadable"
+KEY = ("satellite_id", "timestamp")
+COUNTS = ("received", "valid", "accepted", "repeated", "rejected", "unreadable")
+_BATCHES = ", ".join(f"{c} long" for c in COUNTS) + ", first_id long, source string, batch long"
 
 
 def stream_source_json(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Records from JSON lines that arrive as files in a folder."""
-    reader = spark.readStream.schema(schemas.live_schema())
-    return reader.option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """Records from JSON lines that arrive as files in a folder; a line that is no JSON is kept in `unreadable`."""
+    reader = spark.readStream.schema(schemas.live_schema().add(UNREADABLE, T.StringType()))
+    return reader.option("maxFilesPerTrigger", files_per_batch).option("columnNameOfCorruptRecord", UNREADABLE).json(folder)
 
 
 def parse_messages(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Records from messages that hold one JSON record or a list of them, as a queue delivers."""
-    records = F.from_json(F.col(column).cast("string"), T.ArrayType(schemas.live_schema()))
-    return messages.select(F.explode(records).alias("r")).select("r.*")
+    """Records from messages that hold one JSON record or a list of them; others are kept in `unreadable`."""
+    text = F.col(column).cast("string")
+    records = F.from_json(text, T.ArrayType(schemas.live_schema()))
+    return messages.select(text.alias(UNREADABLE), F.explode_outer(F.when(F.size(records) > 0, records)).alias("r")).select(
+        "r.*", F.when(F.col("r").isNull(), F.col(UNREADABLE)).alias(UNREADABLE)
+    )
 
 
-def stream_dedup(records: DataFrame, horizon: str = "10 minutes") -> DataFrame:
-    """Drops repeats of (satellite, timestamp) that arrive within the horizon in event time."""
-    marked = records.withWatermark("timestamp", horizon)
-    return marked.dropDuplicatesWithinWatermark(["satellite_id", "timestamp"])
+def stream_ingest(records: DataFrame) -> DataFrame:
+    """Records with typed times and defaults filled; `reject_reason` says why one can't be stored, null if it can."""
+    raw = records if UNREADABLE in records.columns else records.withColumn(UNREADABLE, F.lit(None).cast("string"))
+    time = parsed_timestamp(raw)
+    reason = (
+        F.when(F.col(UNREADABLE).isNotNull(), "unreadable").when(F.col("satellite_id").isNull(), "no satellite")
+        .when(F.col("timestamp").isNull(), "no time").when(time.isNull(), "time not readable")
+    )
+    marked = raw.withColumns({"reject_reason": reason, "received_time": F.col("timestamp").cast("string"), "timestamp": time})
+    return fill_ingest_defaults(marked)
 
 
-def stream_ingest(records: DataFrame, horizon: str = "10 minutes", name: str = "ingest") -> DataFrame:
-    """Valid records without repeats, with defaults filled; counts go to the observation `name`."""
-    valid = is_valid_record(records)
-    counted = records.withColumn("_valid", valid).observe(
-        name, F.count(F.lit(1)).alias("received"), F.count_if("_valid").alias("valid"),
-        F.approx_count_distinct("satellite_id").alias("active_streams"),
-    )
-    accepted = counted.where("_valid").drop("_valid")
-    typed = accepted.withColumn("timestamp", parsed_timestamp(accepted))
-    filled = fill_ingest_defaults(stream_dedup(typed, horizon))
-    return filled.observe(f"{name}_accepted", F.count(F.lit(1)).alias("accepted"))
+def accepted_records(ingested: DataFrame) -> DataFrame:
+    return ingested.where("reject_reason IS NULL").drop("reject_reason", "received_time", UNREADABLE)
+
+
+def stream_dedup(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The records whose (satellite, timestamp) is new: one of equals, and none that `stored` has.
+
+    Of equal keys the record that sorts first, column by column.
+    """
+    others = [c for c in batch.columns if c not in KEY]
+    one = batch.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_first")).select(*KEY, "_first.*").select(*batch.columns)
+    return one if stored is None else one.join(stored.select(*KEY), list(KEY), "left_anti").select(*batch.columns)
+
+
+def _source_of(spark: SparkSession) -> str:
+    """The id of the running query, which its checkpoint keeps; `batches` outside a query."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batches"
 
 
-def batch_ids(batch_id: int):
-    """Unique ids for the rows of a batch, without a look at what is stored already."""
-    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    partition = F.spark_partition_id().cast("long") * (1 << _ROW_BITS)
-    return F.lit(batch_id * (1 << (_ROW_BITS + _PARTITION_BITS))) + partition + row
+def _day(timestamp: Column) -> Column:
+    return F.date_format(timestamp, "yyyy-MM-dd")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """One row of counts per finished batch of all queries that wrote to the store."""
+    if not path_exists(spark, f"{path}/_batches"):
+        return spark.createDataFrame([], _BATCHES)
+    return spark.read.schema(_BATCHES).parquet(f"{path}/_batches")
 
 
 def store_batch(path: str) -> BatchWriter:
-    """Writes each batch to its own folder; a repeated batch replaces its first attempt."""
+    """Stores each batch in a folder of its query and number; a repeated batch replaces its first attempt."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = scan_telemetry(coerce_batch(batch).withColumn("id", batch_ids(batch_id)))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        source = _source_of(spark)
+        place = f"source={source}/batch={batch_id}"
+        own = (F.col("source") == source) & (F.col("batch") == batch_id)
+        ingested = batch if "reject_reason" in batch.columns else stream_ingest(batch)
+        first_id = read_batches(spark, path).where(~own).agg(F.max(F.col("first_id") + F.col("accepted"))).first()[0] or 1
+
+        rejects = ingested.where("reject_reason IS NOT NULL")
+        rejects.select("satellite_id", "received_time", UNREADABLE, "reject_reason").write.mode("overwrite").parquet(f"{path}/_rejects/{place}")
+        rows = coerce_batch(accepted_records(ingested))
+        stored = None
+        if path_exists(spark, f"{path}/telemetry"):
+            # As many values as the batch has days; only their folders are read.
+            days = [r[0] for r in rows.select(_day(F.col("timestamp"))).distinct().collect()]
+            stored = read_stored(spark, path).where(F.col("day").isin(days) & ~own)
+        fresh = stream_dedup(rows, stored)
+        coming = f"{path}/_coming/{place}"
+        rows_with_ids = numbered(fresh, coming, int(first_id))
+        (
+            scan_telemetry(rows_with_ids).withColumn("day", _day(F.col("timestamp")))
+            .write.mode("overwrite").partitionBy("day").parquet(f"{path}/telemetry/{place}")
+        )
+        counts = ingested.agg(
+            F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("valid"),
+            F.count_if(F.col("reject_reason") == "unreadable").alias("unreadable"),
+        ).first()
+        accepted = spark.read.schema(fresh.schema).parquet(coming).count()
+        row = (counts.received, counts.valid, accepted, counts.valid - accepted, counts.received - counts.valid, counts.unreadable, int(first_id))
+        log = spark.createDataFrame([row], ", ".join(f"{c} long" for c in (*COUNTS, "first_id")))
+        log.write.mode("overwrite").parquet(f"{path}/_batches/{place}")
+        remove_path(spark, coming)
 
     return write
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The store with the folders of its rows: source, batch and day."""
+    schema = T.StructType(schemas.TELEMETRY.fields + [T.StructField(n, t) for n, t in (("source", T.StringType()), ("batch", T.LongType()), ("day", T.StringType()))])
+    return spark.read.schema(schema).parquet(f"{path}/telemetry")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return scan_telemetry(spark.read.schema(schemas.TELEMETRY).parquet(path))
+    return scan_telemetry(read_stored(spark, path))
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What could not be stored, with the reason."""
+    return spark.read.schema(f"satellite_id string, received_time string, {UNREADABLE} string, reject_reason string, source string, batch long").parquet(f"{path}/_rejects")
 
 
 def tap_batch(path: str, records: int = C.TAP_RECORDS) -> BatchWriter:
-    """Writes an envelope with the first records of each batch, for live subscribers."""
+    """Writes an envelope with the first records of each batch, in time order, for live subscribers."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch.limit(records).agg(F.collect_list(F.struct(*batch.columns)).alias("records"))
+        rows = accepted_records(batch) if "reject_reason" in batch.columns else batch
+        first = rows.orderBy("timestamp", "satellite_id").limit(records).agg(
+            F.sort_array(F.collect_list(F.struct("timestamp", "satellite_id", F.struct(*rows.columns).alias("record")))).alias("sorted")
+        )
         envelope = first.select(
-            F.lit("telemetry").alias("type"), F.lit(batch.count()).alias("count"),
-            F.current_timestamp().alias("timestamp"), "records",
+            F.lit("telemetry").alias("type"), F.lit(rows.count()).alias("count"),
+            F.current_timestamp().alias("timestamp"), F.col("sorted.record").alias("records"),
         )
-        envelope.write.mode("overwrite").option("timestampFormat", JSON_TIME).json(f"{path}/batch={batch_id}")
+        envelope.write.mode("overwrite").option("timestampFormat", JSON_TIME).json(f"{path}/source={_source_of(batch.sparkSession)}/batch={batch_id}")
 
     return write
 
 
 def on_batch(*writers: BatchWriter) -> BatchWriter:
-    """Runs several writers on one computed batch.
-
-    The batch is computed in full before the first writer, so its records are counted once.
-    """
+    """Runs several writers on one computed batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            batch.count()
             for writer in writers:
                 writer(batch, batch_id)
         finally:
@@ -119,24 +183,16 @@ def stream_flush(
     return sink.trigger(processingTime=f"{milliseconds} milliseconds").start()
 
 
-def stream_stats(query: StreamingQuery, spark: SparkSession, name: str = "ingest") -> DataFrame:
-    """Counts of each finished batch that the query still remembers."""
-    rows = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics
-        if name not in seen:
-            continue
-        received, valid, streams = seen[name].received, seen[name].valid, seen[name].active_streams
-        accepted = seen[f"{name}_accepted"].accepted
-        late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
-        rows.append((progress.batchId, received, valid, accepted, received - accepted, late, streams))
-    return spark.createDataFrame(
-        rows,
-        "batch long, received long, valid long, accepted long, dropped long, late long, active_streams long",
-    )
+def stream_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of every batch since the store began."""
+    return read_batches(spark, path).select("source", "batch", *COUNTS)
 
 
 def stream_totals(stats: DataFrame) -> DataFrame:
-    return stats.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_total") for c in ("received", "valid", "accepted", "dropped", "late")]
-    )
+    return stats.agg(F.count(F.lit(1)).alias("flushed_batches"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_total") for c in COUNTS])
+
+
+def recent_satellites(stored: DataFrame, rows: int = 20) -> DataFrame:
+    """The satellites with the newest readings."""
+    newest = stored.groupBy("satellite_id").agg(F.max("timestamp").alias("newest"))
+    return newest.orderBy(F.desc("newest"), "satellite_id").limit(rows)

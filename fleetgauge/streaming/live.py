@@ -36,6 +36,15 @@ def stream_window_health(records: DataFrame, width: str = "1 hour", lateness: st
     )
 
 
+def stream_late_data(records: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Readings of each satellite and window, as far as they are not later than `lateness`.
+
+    What comes after its window has closed changes no window; it is in the store all the same.
+    """
+    counts = records.withWatermark("timestamp", lateness).groupBy(F.window("timestamp", width), "satellite_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("satellite_id", F.col("window.start").alias("start"), "n")
+
+
 def table_writer(path: str) -> BatchWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

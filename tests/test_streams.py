@@ -11,37 +11,101 @@ def write(folder, name, records):
     (folder / name).write_text("\n".join(json.dumps(r) for r in records))
 
 
-def test_ingest(spark, tmp_path):
-    inbox = tmp_path / "in"
-    good = {"satellite_id": "A", "timestamp": "2024-01-01T00:00:00", "battery_pct": 50.0}
-    write(inbox, "1.json", [good, {**good, "timestamp": "2024-01-01T00:01:00", "data_source": "lab"}])
-    write(inbox, "2.json", [good, {"timestamp": "2024-01-01T00:00:00"}, {"satellite_id": "A"}, {"satellite_id": "A", "timestamp": 2024}])
-    accepted = ingest.stream_ingest(ingest.stream_source_json(spark, str(inbox)), "1 day")
-    query = ingest.stream_flush(
-        accepted, ingest.on_batch(ingest.store_batch(f"{tmp_path}/store"), ingest.tap_batch(f"{tmp_path}/tap")),
-        f"{tmp_path}/checkpoint", available_now=True,
-    )
-    query.awaitTermination()
-    stored = ingest.read_store(spark, f"{tmp_path}/store")
-    assert sorted(r.data_source for r in stored.collect()) == ["lab", "realtime"]
-    assert stored.where("ingested_at IS NULL").count() == 0
-    totals = ingest.stream_totals(ingest.stream_stats(query, spark)).first()
-    assert (totals.received_total, totals.valid_total, totals.accepted_total, totals.dropped_total) == (6, 3, 2, 4)
-    assert spark.read.json(f"{tmp_path}/tap").selectExpr("sum(count)").first()[0] == 2
+GOOD = {"satellite_id": "A", "timestamp": "2024-01-01T12:00:00", "battery_pct": 50.0}
+
+
+def run(spark, inbox, store, checkpoint, *writers):
+    records = ingest.stream_ingest(ingest.stream_source_json(spark, str(inbox), files_per_batch=1))
+    writer = ingest.on_batch(ingest.store_batch(str(store)), *writers)
+    ingest.stream_flush(records, writer, str(checkpoint), available_now=True).awaitTermination()
+
+
+def test_nothing_is_lost(spark, tmp_path):
+    """Late records, repeats in one batch and across batches, and rejects of every kind."""
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    write(inbox, "1.json", [GOOD, {**GOOD, "timestamp": "2024-01-01T12:01:00", "data_source": "lab"}, GOOD])
+    write(inbox, "2.json", [GOOD, {"timestamp": "2024-01-01T00:00:00"}, {"satellite_id": "A"}, {"satellite_id": "A", "timestamp": "x"}])
+    write(inbox, "3.json", [{**GOOD, "satellite_id": "B", "timestamp": "2023-06-01T00:00:00"}, {**GOOD, "timestamp": "2024-01-01T11:00:00"}])
+    (inbox / "4.json").write_text("{no json")
+    run(spark, inbox, store, tmp_path / "checkpoint", ingest.tap_batch(f"{tmp_path}/tap"))
+    stored = ingest.read_store(spark, str(store))
+    got = sorted((r.satellite_id, r.timestamp.isoformat(), r.data_source) for r in stored.collect())
+    assert got == [
+        ("A", "2024-01-01T11:00:00", "realtime"), ("A", "2024-01-01T12:00:00", "realtime"), ("A", "2024-01-01T12:01:00", "lab"),
+        ("B", "2023-06-01T00:00:00", "realtime"),
+    ]
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3, 4]
+    rejects = ingest.read_rejects(spark, str(store)).collect()
+    assert sorted(r.reject_reason for r in rejects) == ["no satellite", "no time", "time not readable", "unreadable"]
+    assert [r.unreadable for r in rejects if r.reject_reason == "unreadable"] == ["{no json"]
+    totals = ingest.stream_totals(ingest.stream_stats(spark, str(store))).first()
+    assert (totals.received_total, totals.valid_total, totals.accepted_total, totals.repeated_total, totals.rejected_total) == (10, 6, 4, 2, 4)
+    assert totals.flushed_batches >= 4
+    assert spark.read.json(f"{tmp_path}/tap").selectExpr("sum(count)").first()[0] == 6
+
+
+def test_a_second_stream_adds_to_the_store(spark, tmp_path):
+    store = tmp_path / "store"
+    for n, records in enumerate([[GOOD], [GOOD, {**GOOD, "satellite_id": "C"}]]):
+        write(tmp_path / f"in{n}", "1.json", records)
+        run(spark, tmp_path / f"in{n}", store, tmp_path / f"checkpoint{n}")
+    stored = ingest.read_store(spark, str(store))
+    assert sorted((r.satellite_id, r.id) for r in stored.collect()) == [("A", 1), ("C", 2)]
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     batch = spark.createDataFrame([("A", "2024-01-01T00:00:00")], "satellite_id string, timestamp string")
+    other = spark.createDataFrame([("B", "2024-01-01T00:00:00")], "satellite_id string, timestamp string")
     writer = ingest.store_batch(str(tmp_path / "store"))
-    writer(batch, 0), writer(batch, 0), writer(batch, 1)
+    writer(batch, 0), writer(batch, 0), writer(other, 1), writer(other, 1)
     stored = ingest.read_store(spark, str(tmp_path / "store"))
-    assert stored.count() == 2 and stored.select("id").distinct().count() == 2
+    assert sorted((r.satellite_id, r.id) for r in stored.collect()) == [("A", 1), ("B", 2)]
+
+
+def test_ids_of_a_partition_of_any_size(spark, tmp_path):
+    rows = tables.numbered(spark.range(10_000_000, numPartitions=1).selectExpr("id AS n"), str(tmp_path / "coming"), 5)
+    assert rows.selectExpr("min(id)", "max(id)", "count(DISTINCT id)").first() == (5, 10_000_004, 10_000_000)
+
+
+def test_appends_have_ids_of_their_own(spark, tmp_path):
+    batch = spark.createDataFrame([("A",), ("B",)], "satellite_id string")
+    for _ in range(2):
+        tables.write_result_table(batch, "anomaly_records", str(tmp_path / "t"))
+        tables.append_telemetry(batch, str(tmp_path / "u"))
+    for table, place in (("anomaly_records", "t"), ("telemetry", "u")):
+        stored = tables.read_result_table(spark, table, str(tmp_path / place))
+        assert stored.count() == 4 and stored.select("id").distinct().count() == 4
 
 
 def test_messages_hold_one_record_or_many(spark):
     one = '{"satellite_id": "A", "timestamp": "2024-01-01T00:00:00"}'
-    messages = spark.createDataFrame([(one,), (f"[{one}, {one}]",)], "value string")
-    assert ingest.parse_messages(messages).count() == 3
+    messages = spark.createDataFrame([(one,), (f"[{one}, {one}]",), ("broken",), (None,)], "value string")
+    records = ingest.stream_ingest(ingest.parse_messages(messages)).collect()
+    assert sorted((r.satellite_id or "", r.reject_reason or "") for r in records) == [("", "no satellite"), ("", "unreadable"), ("A", ""), ("A", ""), ("A", "")]
+
+
+def test_windows_wait_for_late_readings_only_so_long(spark, tmp_path):
+    """Append mode: a window is given out once, when the watermark has passed it; later readings are left out of it."""
+    inbox = tmp_path / "in"
+    reading = lambda time, value: {"satellite_id": "A", "timestamp": time, "battery_pct": value}
+    for name, rows in [
+        ("1.json", [reading("2024-01-01T10:05:00", 90.0), reading("2024-01-01T10:50:00", 90.0)]),
+        ("2.json", [reading("2024-01-01T11:05:00", 90.0), reading("2024-01-01T10:55:00", 30.0)]),
+        ("3.json", [reading("2024-01-01T13:00:00", 90.0)]),
+        ("4.json", [reading("2024-01-01T10:01:00", 0.0), reading("2024-01-01T15:00:00", 90.0)]),
+    ]:
+        write(inbox, name, rows)
+        records = ingest.accepted_records(ingest.stream_ingest(ingest.stream_source_json(spark, str(inbox))))
+        windows = live.stream_window_health(records.select("satellite_id", "timestamp", "battery_pct"), "1 hour", "10 minutes")
+        ingest.stream_flush(windows, live.table_writer(f"{tmp_path}/out"), f"{tmp_path}/checkpoint", available_now=True).awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
+    batch = live.stream_window_health(
+        spark.createDataFrame([("A", t, v) for t, v in [("2024-01-01 10:05:00", 90.0), ("2024-01-01 10:50:00", 90.0), ("2024-01-01 10:55:00", 30.0)]],
+                              "satellite_id string, timestamp string, battery_pct double").selectExpr("satellite_id", "timestamp(timestamp) AS timestamp", "battery_pct"),
+        "1 hour",
+    ).first()
+    assert [r.window_start.hour for r in out] == [10, 11, 13]
+    assert out[0].health_score == batch.health_score
 
 
 def test_latest_of_some(spark, tmp_path):
