@@ -65,14 +65,28 @@ def _prepared(t: Tables):
     return forest.prepare(narrow, features, keys=KEYS), features
 
 
-@query("isolation_forest_fit")
+@query(
+    "isolation_forest_fit",
+    """SELECT satellite_id, CAST(tree AS INTEGER) AS tree, CAST(least(256, n) AS INTEGER) AS sample_size, true AS binary_tree
+FROM (SELECT satellite_id, count(*) AS n FROM telemetry GROUP BY satellite_id), range(100) AS r(tree)""",
+)
 def _(t: Tables):
+    """Each satellite has 100 trees over 256 of its readings, or all, with one leaf more than inner nodes."""
     prepared, features = _prepared(t)
     trees = forest.isolation_forest_fit(prepared, features)
     leaves = F.size(F.filter("feature", lambda f: f < 0))
-    return trees.select(
-        "satellite_id", "tree", "sample_size", F.size("feature").alias("nodes"), leaves.alias("leaves")
-    )
+    return trees.select("satellite_id", "tree", "sample_size", (F.size("feature") == 2 * leaves - 1).alias("binary_tree"))
+
+
+@query(
+    "isolation_forest_rows",
+    """SELECT id, satellite_id, count(*) AS rows_ FROM telemetry_dirty GROUP BY ALL""",
+)
+def _(t: Tables):
+    """Rows with repeated ids come out as often as they went in."""
+    rows = t.dirty.withColumn("copy", F.col("battery_pct") * 0)
+    scored = forest.isolation_forest_score(rows, settings=forest.ForestSettings(trees=5))
+    return scored.groupBy("id", "satellite_id").agg(F.count(F.lit(1)).alias("rows_"))
 
 
 @query("isolation_forest_score")

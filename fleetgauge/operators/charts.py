@@ -19,18 +19,19 @@ def histogram(
 ) -> DataFrame:
     """Counts in bins of equal width from the least to the greatest value, which closes the last bin.
 
-    Values collapse to counts first; only those meet the limits of their group.
+    The limits of each group first, then the counts: what is shuffled is two values and at most `bins`
+    rows of each group and task.
     """
     df, keys = scoped(df, keys)
-    counts = value_counts(df.withColumn("value", F.col(metric).cast("double")), keys, "value")
-    ends = counts.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    values = df.select(*keys, F.col(metric).cast("double").alias("value")).where("value IS NOT NULL")
+    ends = values.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     place = F.coalesce(F.try_divide((F.col("value") - F.col("low")) * bins, F.col("high") - F.col("low")), F.lit(0.0))
     bin_no = F.least(F.floor(place), F.lit(bins - 1)).cast("int")
     return (
-        join_groups(counts, ends, keys, few=spread_of(df, keys, split).few)
+        join_groups(values, ends, keys, few=spread_of(df, keys, split).few)
         .groupBy(*keys, bin_no.alias("bin"), "low", "high")
-        .agg(F.sum("copies").alias("readings"))
+        .agg(F.count(F.lit(1)).alias("readings"))
         .select(
             *keys, "bin", (F.col("low") + width * F.col("bin")).alias("bin_from"),
             (F.col("low") + width * (F.col("bin") + 1)).alias("bin_to"), "readings",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.operators.grouping import KEYS, Spread, ordering
+from fleetgauge.operators.grouping import KEYS, Spread, ordering, spread_of
 from fleetgauge.operators.ordering import fill_forward_backward
 from fleetgauge.operators.select import coerce_timestamps, drop_duplicates
 
@@ -27,6 +27,8 @@ def numeric_columns(df: DataFrame, without: Sequence[str] = ()) -> list[str]:
 
 def clean(df: DataFrame, *, keys: Sequence[str] = KEYS, split: Spread | bool | None = None) -> DataFrame:
     """Without copies and unreadable times, gaps filled in time order, sparse rows dropped."""
+    # Measured before the copies go, so that they are looked for once.
+    split = spread_of(df, keys, split)
     rows = coerce_timestamps(drop_duplicates(df))
     order = ordering(rows)
     filled = fill_forward_backward(

@@ -117,7 +117,7 @@ def isolation_forest_fit(
     key_list = list(keys)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_draw", id_column]).head(sample)
+        rows = rows.sort_values(["_draw", id_column, *names]).head(sample)
         points = rows[names].to_numpy(float)
         height = int(np.ceil(np.log2(max(len(points), 2))))
         tree = _grow(points, np.random.default_rng([seed, int(key[-1])]), height)
@@ -193,7 +193,7 @@ def isolation_forest_score(
     """The rows with `anomaly_score` (negative = anomalous), `is_anomaly` and `anomaly_type`.
 
     One forest per satellite, or one for all with `scope="fleet"`. The threshold is the lowest
-    `contamination` share of the scores of a forest's own rows.
+    `contamination` share of the scores of a forest's own rows. Repeated ids are rows like others.
     """
     features = present(df, features)
     if len(features) < 2:
@@ -202,16 +202,18 @@ def isolation_forest_score(
         )
     rows, keys = scoped(df, KEYS if scope == "satellite" else ())
     split = spread_of(rows, keys, split)
-    narrow = rows.select(*keys, id_column, *[F.col(f).cast("double").alias(f) for f in features])
-    prepared = prepare(narrow, features, keys=keys, split=split)
-    options = dict(keys=keys, id_column=id_column, few=split.few)
-    forest = isolation_forest_fit(prepared, features, settings=settings, **options)
+    # Written with a number of its own for each row: ids may repeat.
+    rows = pin(rows.withColumn("_row", F.monotonically_increasing_id()))
+    narrow = rows.select(*keys, id_column, "_row", *[F.col(f).cast("double").alias(f) for f in features])
+    # Written once, as growing and scoring read it five times, and preparing it needs the medians.
+    prepared = pin(prepare(narrow, features, keys=keys, split=split))
+    forest = isolation_forest_fit(prepared, features, settings=settings, keys=keys, id_column=id_column, few=split.few)
     # Written once: the threshold and the result both read the scores, and scoring is the dear part.
-    raw = pin(isolation_forest_raw_scores(prepared, forest, features, **options))
+    raw = pin(isolation_forest_raw_scores(prepared, forest, features, keys=keys, id_column="_row", few=split.few))
     offset = quantiles(raw, keys, "raw_score", {"_offset": settings.contamination}, split=split)
     scored = join_groups(raw, offset, keys, few=split.few)
     scored = scored.select(
-        *keys, id_column, (F.col("raw_score") - F.col("_offset")).alias("anomaly_score")
+        "_row", (F.col("raw_score") - F.col("_offset")).alias("anomaly_score")
     ).withColumns({"is_anomaly": F.col("anomaly_score") < 0, "anomaly_type": F.lit("none")})
-    joined = join_groups(rows, scored, [*keys, id_column])
+    joined = rows.join(scored, "_row").drop("_row")
     return joined.drop("scope") if scope == "fleet" else joined

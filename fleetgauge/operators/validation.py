@@ -68,10 +68,13 @@ def missing_profile(
 def duplicate_profile(
     df: DataFrame, *, keys: Sequence[str] = KEYS, limit: float = C.MAX_DUPLICATE_PCT
 ) -> DataFrame:
-    """Exact copies beyond the first; copies collapse before the shuffle."""
+    """Exact copies beyond the first; what is shuffled is the keys and a mark of 128 bits, not the rows."""
     columns = df.columns
     df, keys = scoped(df, keys)
-    copies = df.groupBy(*dict.fromkeys([*keys, *columns])).agg(F.count(F.lit(1)).alias("_copies"))
+    # Nulls leave a hash as it is, so their places go into it.
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    marks = df.select(*keys, F.xxhash64(*columns, nulls).alias("_mark"), F.xxhash64(nulls, F.lit(128), *reversed(columns)).alias("_mark_2"))
+    copies = marks.groupBy(*keys, "_mark", "_mark_2").agg(F.count(F.lit(1)).alias("_copies"))
     sums = copies.groupBy(*keys).agg(
         F.sum("_copies").alias("total_records"), F.sum(F.col("_copies") - 1).alias("duplicate_count")
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,7 +31,9 @@ def build_session(app: str = "fleetgauge", master: str | None = None, **settings
 
 @functools.cache
 def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="fleetgauge-")
+    folder = tempfile.mkdtemp(prefix="fleetgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,11 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back.
+    """Writes the rows to a checkpoint in the shared folder.
 
     The result no longer depends on how the rows were computed, so a lost executor cannot make
-    two readers see different rows.
+    two readers see different rows. Spark deletes the copy once nothing refers to it
+    (`spark.cleaner.referenceTracking.cleanCheckpoints`, which `build_session` turns on).
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

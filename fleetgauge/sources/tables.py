@@ -74,12 +74,19 @@ def numbered(df: DataFrame, coming: str, first: int) -> DataFrame:
     return placed.drop("file_path", "row_index", "offset")
 
 
+_FILES_PER_FOLDER = 8
+
+
 def _append(df: DataFrame, schema: T.StructType, path: str, folders: Sequence[str] = ()) -> None:
     """Appends; rows without an id get numbers from the present nanosecond on, so no look at the store is needed."""
     coming = f"{path}/_coming-{uuid.uuid4().hex}"
     rows = df if "id" in df.columns else numbered(df, coming, time.time_ns())
     try:
-        _as_declared(rows, schema).write.mode("append").partitionBy(*folders).parquet(path)
+        declared = _as_declared(rows, schema)
+        if folders:
+            # A few files per folder, and a large one still spread over some tasks.
+            declared = declared.repartition(*folders, F.pmod(F.xxhash64("id"), F.lit(_FILES_PER_FOLDER)))
+        declared.write.mode("append").partitionBy(*folders).parquet(path)
     finally:
         remove_path(df.sparkSession, coming)
 
