@@ -78,7 +78,20 @@ def _(t: Tables):
     return related.select("satellite_id", "name", "correlation", "strength", "direction")
 
 
-@query("relationship_p_values")
+# p is the share of sin(t)^(n - 3) that lies below acos(abs(r)), of what lies below pi / 2; both by Simpson's rule.
+_STEPS = 4000
+_SIMPSON = "sum((CASE WHEN k = 0 OR k = {0} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(sin({1} * k / {0}), n - 3)) * {1}"
+
+
+@query(
+    "relationship_p_values",
+    RELATED.replace("\nFINALLY\n", f"""), tails AS (
+  SELECT satellite_id, pair, {_SIMPSON.format(_STEPS, "acos(least(1E0, abs(r)))")} / ({_SIMPSON.format(_STEPS, "(pi() / 2)")}) AS p
+  FROM pairs, generate_series(0, {_STEPS}) AS s(k) WHERE r IS NOT NULL AND n > 2 GROUP BY satellite_id, pair, r, n)
+FINALLY
+""".removeprefix(")")) + "SELECT satellite_id, name, correlation, p AS p_value FROM related JOIN tails USING (satellite_id, pair)",
+    doubles="correlation p_value",
+)
 def _(t: Tables):
     return relations.relationships(t.telemetry).select("satellite_id", "name", "correlation", "p_value")
 

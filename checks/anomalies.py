@@ -54,9 +54,16 @@ SUMMARY = f"""{EVENTS}, s_types AS (SELECT satellite_id, rule, count(*) AS n, co
   FROM (SELECT DISTINCT satellite_id FROM telemetry) LEFT JOIN s_all USING (satellite_id))"""
 
 
-@query("anomaly_summary", f"WITH {SUMMARY}\nFINALLY\nSELECT * FROM summaries")
+@query(
+    "anomaly_summary",
+    f"""WITH {SUMMARY}, shares AS (SELECT satellite_id, round(ceil((count(*) - 1) * 5E-2) / count(*) * 100, 2) AS ml_anomaly_pct
+  FROM telemetry GROUP BY satellite_id)
+FINALLY
+SELECT * FROM summaries JOIN shares USING (satellite_id)""",
+    doubles="ml_anomaly_pct",
+)
 def _(t: Tables):
-    return anomaly.anomaly_summary(t.telemetry).drop("ml_anomaly_pct")
+    return anomaly.anomaly_summary(t.telemetry, fit=True)
 
 
 def _prepared(t: Tables):

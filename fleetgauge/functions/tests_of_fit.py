@@ -40,7 +40,7 @@ def with_normality_p(df: DataFrame, name: str, n: str, skewness: str, kurtosis:
     return df.drop(*[c for step in steps[:-1] for c in step])
 
 
-def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+def _beta_fraction(a: np.ndarray, b: np.ndarray | float, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz), elementwise."""
     tiny = 1e-300
 
@@ -67,10 +67,7 @@ def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(log_norm + a * np.log(x) + b * np.log1p(-x))
         direct = front * _beta_fraction(a, b, x) / a
-        mirror = np.empty_like(x)
-        for i in range(len(x)):
-            av = np.array([b])
-            mirror[i] = 1 - front[i] * _beta_fraction(av, a[i], np.array([1 - x[i]]))[0] / b
+        mirror = 1 - front * _beta_fraction(np.full_like(x, b), a, 1 - x) / b
     result = np.where(x < (a + 1) / (a + b + 2), direct, mirror)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, result))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.scalars import anomaly_label, event_severity, severity_from_count
+from fleetgauge.operators.forest import isolation_forest_score
 from fleetgauge.operators.grouping import KEYS, ORDER, Spread, join_groups, ordering, spread_of
 from fleetgauge.operators.ordering import over_readings
 from fleetgauge.operators.validation import range_text
@@ -102,12 +103,14 @@ def anomaly_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_summary(df: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def anomaly_summary(df: DataFrame, events: DataFrame | None = None, *, fit: bool = False) -> DataFrame:
     """Events, flagged percentage, severity and a sentence for every satellite of the frame.
 
-    The percentage needs the forest's flags in `is_anomaly`; without them it is null.
+    The percentage needs the forest's flags in `is_anomaly`. Without them `fit` fits a forest; else it is null.
     """
     events = detect_statistical(df) if events is None else events
+    if fit and "is_anomaly" not in df.columns:
+        df = isolation_forest_score(df)
     flagged = F.avg(F.col("is_anomaly").cast("double")) if "is_anomaly" in df.columns else F.lit(None).cast("double")
     fleet = df.groupBy("satellite_id").agg(F.round(flagged * 100, 2).alias("ml_anomaly_pct"))
     by_type = anomaly_counts(events)
