@@ -178,9 +178,7 @@ def _(t: Tables):
     return series.time_series_analysis(t.telemetry)
 
 
-@query(
-    "distribution_analysis",
-    f"""WITH {STATISTICS}, d_shape AS (
+SHAPES = f"""{STATISTICS}, d_shape AS (
   SELECT satellite_id, metric, CAST(n AS DOUBLE) AS n, CASE WHEN m2 > 0 THEN m3 / pow(m2, 15E-1) END AS skewness,
     CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 END AS kurtosis FROM v_moments
   WHERE n >= 10 AND metric IN ('battery_pct', 'temperature_c', 'signal_strength_dbm', 'altitude_km')
@@ -195,13 +193,19 @@ def _(t: Tables):
 ), d_three AS (
   SELECT *, ln(ya + sqrt(ya * ya + 1)) / sqrt(ln(w2) / 2) AS z1, 1 + x * sqrt(2 / (a - 4)) AS den FROM d_two
 ), d_four AS (
-  SELECT *, (1 - 2 / (9 * a) - sign(den) * cbrt((1 - 2 / a) / nullif(abs(den), 0))) / sqrt(2 / (9 * a)) AS z2 FROM d_three)
+  SELECT *, (1 - 2 / (9 * a) - sign(den) * cbrt((1 - 2 / a) / nullif(abs(den), 0))) / sqrt(2 / (9 * a)) AS z2 FROM d_three)"""
+SHAPE_NAME = """CASE WHEN skewness IS NULL THEN NULL WHEN abs(skewness) < 5E-1 THEN 'symmetric' WHEN skewness > 1 THEN 'right-skewed'
+    WHEN skewness > 0 THEN 'slightly right-skewed' WHEN skewness < -1 THEN 'left-skewed'
+    ELSE 'slightly left-skewed' END"""
+
+
+@query(
+    "distribution_analysis",
+    f"""WITH {SHAPES}
 FINALLY
 SELECT satellite_id, metric, exp(-(z1 * z1 + z2 * z2) / 2) > 5E-2 AS is_normal,
   exp(-(z1 * z1 + z2 * z2) / 2) AS normality_p_value, skewness, kurtosis,
-  CASE WHEN skewness IS NULL THEN NULL WHEN abs(skewness) < 5E-1 THEN 'symmetric' WHEN skewness > 1 THEN 'right-skewed'
-    WHEN skewness > 0 THEN 'slightly right-skewed' WHEN skewness < -1 THEN 'left-skewed'
-    ELSE 'slightly left-skewed' END AS distribution_type FROM d_four""",
+  {SHAPE_NAME} AS distribution_type FROM d_four""",
     doubles="normality_p_value skewness kurtosis",
 )
 def _(t: Tables):

@@ -36,7 +36,7 @@ SCORE_MEANINGS = [
 
 
 def number(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(value, digits))
+    return F.format_string(f"%.{digits}f", F.round(value, digits) + F.lit(0.0))  # no minus before zero
 
 
 def _sentence(*parts: Column | str) -> Column:
@@ -88,7 +88,7 @@ def lights() -> Column:
 def spreads() -> Column:
     return _each(
         "statistics",
-        lambda s: _sentence(s["metric"], " lies at ", number(s["mean"], 4), " with a deviation of ", F.coalesce(number(s["std"], 4), F.lit("none")), "."),
+        lambda s: _sentence(s["metric"], " lies at ", number(s["mean"], 6), " with a deviation of ", F.coalesce(number(s["std"], 6), F.lit("none")), "."),
     )
 
 
