@@ -147,13 +147,16 @@ def _ssn(match: Column, key: str) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    """A number of the North American plan; with and without the leading 1 it has one pseudonym."""
+    """Ten digits, with or without the leading 1: an area that doesn't begin with 0, an office from 200 on.
+
+    Areas below 200 are not given out, but numbers written like this are taken for numbers all the same.
+    """
     def of(d):
-        valid = d.rlike(r"^[2-9]\d{2}[2-9]\d{6}$")
-        sizes = F.array(*(F.lit(8 if i in (0, 3) else 10).cast("long") for i in range(10)))
-        shift = lambda c, i: F.when(i.isin(0, 3), 2).otherwise(0)
-        places = F.transform(_longs(d), lambda v, i: v - shift(v, i))
-        fresh = F.transform(feistel(places, sizes, key, "phone"), lambda v, i: v + shift(v, i))
+        valid = d.rlike(r"^[1-9]\d{2}[2-9]\d{6}$")
+        sizes = F.array(*(F.lit({0: 9, 3: 8}.get(i, 10)).cast("long") for i in range(10)))
+        shift = lambda i: F.when(i == 0, 1).when(i == 3, 2).otherwise(0)
+        places = F.transform(_longs(d), lambda v, i: v - shift(i))
+        fresh = F.transform(feistel(places, sizes, key, "phone"), lambda v, i: v + shift(i))
         lead = F.when(F.length(_digits(match)) == 11, "1").otherwise("")
         return F.when(valid, _filled(match, F.concat(lead, _joined(fresh)), "0-9"))
 

@@ -37,8 +37,8 @@ def test_like_brute_force(docs):
     assert got[0] == ".".join(map(str, feistel([10, 0, 0, 255], [256] * 4, "ip")))
     a, b = feistel([*divmod((dt.date(1999, 12, 31) - dt.date(1900, 1, 1)).days, DAYS[1])], list(DAYS), "date")
     assert got[1] == str(dt.date(1900, 1, 1) + dt.timedelta(a * DAYS[1] + b))
-    f = feistel([0, 1, 2, 3, 5, 5, 0, 1, 2, 3], [8, 10, 10, 8, *[10] * 6], "phone")
-    digits = "".join(str(v + (2 if i in (0, 3) else 0)) for i, v in enumerate(f))
+    f = feistel([1, 1, 2, 3, 5, 5, 0, 1, 2, 3], [9, 10, 10, 8, *[10] * 6], "phone")
+    digits = "".join(str(v + {0: 1, 3: 2}.get(i, 0)) for i, v in enumerate(f))
     assert got[2] == f"tel {digits[:3]}-{digits[3:6]}-{digits[6:]}"
     body = "4" + "".join(map(str, feistel([int(c) for c in "53914880343646"], [10] * 14, "card")))
     assert got[3].startswith("c " + body) and luhn(got[3][2:])
@@ -66,7 +66,7 @@ def test_octets_are_permuted(docs):
 @pytest.mark.parametrize(
     "text",
     ["300.1.1.1 1.2.3.4.5 v1.02.3.4", "2021-02-29 1850-01-01 13/13/2000 2020-1/2", "000-12-3456 666-12-3456 900-12-3456 123-00-4567", "4539148803436468 0000000000000000",
-     "112-555-0123 and 212-155-0123", "DE89370400440532013001", "992695314 106335957369 2654884", "no numbers @ all", "@x.org a@b", "order 12345678901234567890123"],
+     "012-555-0123 and 212-155-0123", "DE89370400440532013001", "992695314 106335957369 2654884", "no numbers @ all", "@x.org a@b", "order 12345678901234567890123"],
 )
 def test_what_is_not_valid_stays(docs, text):
     assert only(docs, text) == [text]
