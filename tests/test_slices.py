@@ -86,3 +86,13 @@ def test_long_lists_of_newest_rows(stored):
 def test_mode_takes_the_smallest_of_equals(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", 1.0), ("a", 2.0)], "g string, v double")
     assert modes(df, ["g"], "v").first()["mode"] == 1.0
+
+
+def test_a_frame_wider_than_a_chunk(stored):
+    wide = lambda split: over_readings(
+        stored.select("id", "satellite_id", "timestamp", "battery_pct"),
+        lambda w: {"far": F.lag("battery_pct", 30).over(w), "near": F.lead("battery_pct", 25).over(w)},
+        before=30, after=25, split=split, chunk_rows=10,
+    )
+    columns = ["id", "far", "near"]
+    assert rows(wide(True).select(columns)) == rows(wide(False).select(columns))

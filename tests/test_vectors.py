@@ -158,3 +158,15 @@ def test_path_length():
 
     found = forest._path_length(np.array([1, 2, 256]))
     assert list(found[:2]) == [0, 1] and math.isclose(found[2], 10.2447, abs_tol=1e-3)
+
+
+def test_forest_keeps_rows_with_repeated_ids(spark):
+    df = spark.range(400).selectExpr("IF(id < 20, 0L, id) AS id", "'a' AS satellite_id", "double(id % 7) AS battery_pct", "double(id % 5) AS temperature_c")
+    scored = forest.isolation_forest_score(df, settings=forest.ForestSettings(trees=5))
+    assert scored.count() == 400 and scored.where("id = 0").count() == 20
+
+
+def test_marks_of_copies_see_where_nulls_are(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", 1.0, None), ("a", 1.0, None), ("b", None, None)], "satellite_id string, x double, y double")
+    found = {r.satellite_id: r.duplicate_count for r in validation.duplicate_profile(df).collect()}
+    assert found == {"a": 1, "b": 0}
