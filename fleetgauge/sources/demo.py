@@ -81,8 +81,8 @@ WINDOW_COLUMNS = {
     "satellite_id": REGISTRY_COLUMNS["satellite_id"],
     "type": _KINDS.format("s_suppkey"),
     "start_index": "(s_suppkey * 37) % 300",
-    "duration": "20 + (s_suppkey * 11) % 90",
-    "severity": "(50 + (s_suppkey * 7) % 51) / 100E0",
+    "duration": "21 + 2 * ((s_suppkey * 11) % 45)",
+    "severity": "(49 + (s_suppkey * 7) % 51) / 99E0",
 }
 SECOND_COLUMNS = {**WINDOW_COLUMNS, "type": _KINDS.format("(s_suppkey + 1)"), "start_index": "(s_suppkey * 37) % 300 + 10"}
 SECOND_ROWS = "s_suppkey % 3 = 0"
