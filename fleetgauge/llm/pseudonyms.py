@@ -40,7 +40,7 @@ def _numbered() -> dict[str, str]:
 
 ANY = "|".join(_numbered().values())
 #: What every shape holds; texts without it are not searched.
-SIGN = r"\d{2}|@"
+SIGN = r"\d[ .-]?\d|\+\d|@"
 #: Days from the first of January 1900 to the end of 2099: 17 * 4297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 

@@ -96,3 +96,11 @@ def test_odd_rows(docs):
 def test_stays_in_the_jvm(docs):
     plan = with_pseudonyms(docs([(1, "x")]), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_values_of_single_digits(docs):
+    """No two digits side by side and no @."""
+    alone = only(docs, "ask 8.8.8.8 first", "ask 8.8.8.8 first, 12 times", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1")
+    new = ".".join(map(str, feistel([8] * 4, [256] * 4, "ip")))
+    assert alone[:2] == [f"ask {new} first", f"ask {new} first, 12 times"]
+    assert alone[2] != "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1" and luhn(alone[2].replace(" ", ""))
