@@ -27,20 +27,37 @@ SHAPES = {
 }
 
 
-def _numbered() -> dict[str, str]:
-    """The shapes with their back references counted through all of them."""
-    out, groups = {}, 0
-    for kind, shape in SHAPES.items():
+#: A card that begins behind a dash, up to six digits into a run of digits that is no card as a whole.
+LATER = r"(?<=(?<![\w.-])\d[\d-]{0,7}-)(?:\d[ -]?){12,18}\d(?![\w]|[.-]\d)"
+
+
+def _starts() -> tuple[str, list[int]]:
+    """A pattern of no width, found wherever a shape begins, and the number of its group for each shape and for LATER."""
+    shapes, groups, out = [*SHAPES.values(), LATER], 0, []
+
+    def counted(shape):
+        nonlocal groups
         own = shape.count("([-/.])")
         for k in range(own, 0, -1):
             shape = shape.replace(rf"\{k}", rf"\{k + groups}")
-        out[kind], groups = shape, groups + own
-    return out
+        groups += own
+        return shape
+
+    pattern = "(?=" + "|".join(map(counted, shapes)) + ")"
+    for shape in shapes:
+        groups += 1
+        out.append(groups)
+        pattern += f"(?=({counted(shape)})?)"
+    return pattern, out
 
 
-ANY = "|".join(_numbered().values())
+STARTS, GROUPS = _starts()
 #: What every shape holds; texts without it are not searched.
 SIGN = r"\d[ .-]?\d|\+\d|@"
+#: Begins the marks put into a text; where a text has it already, it is followed by "!" meanwhile.
+MARK = "\x1a"
+#: Places that are woven together at a time.
+TOGETHER = 64
 #: Days from the first of January 1900 to the end of 2099: 17 * 4297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -248,36 +265,108 @@ def _email(match: Column, key: str) -> Column:
 WAYS = {"ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "iban": _iban, "card": _card, "email": _email}
 
 
-def _answer(match: Column, key: str) -> Column:
-    """(kind, pseudonym) of a match; nulls where it is no valid value of any kind whose shape it has."""
+#: What may part a value from a short token behind it, for shapes that would take both, and the symbols of a value.
+PARTED = {"abroad": ("[ .-]", "[^0-9]", 8, 15), "iban": (" ", " ", 15, 34), "card": ("[ -]", "[^0-9]", 13, 19)}
+
+
+def _forms(kind: str, match: Column) -> Column:
+    """The match, and what remains of it when its last groups are taken off one by one, if not too short or too long."""
+    if kind not in PARTED:
+        return F.array(match)
+    parted, other, least, most = PARTED[kind]
+    ends = F.filter(F.sequence(F.length(match), F.lit(1), F.lit(-1)), lambda p: F.substring(match, p + 1, F.lit(1)).rlike(f"^(?:{parted}|)$"))
+    forms = F.transform(ends, lambda p: F.substring(match, F.lit(1), p))
+    return F.filter(forms, lambda f: F.length(F.regexp_replace(f, other, "")).between(least, most))
+
+
+def _candidates(caps: Column) -> Column:
+    """(kind, form) of what may be a value at one place: kinds in their order, forms from the longest.
+
+    A card that is not all of its match, or not the first shape of its place, is parted by blanks alone or
+    by dashes alone.
+    """
+    out = []
+    for i, kind in enumerate(WAYS):
+        match, fits = F.get(caps, i), lambda f: F.lit(True)
+        if kind == "card":
+            alone = (F.array_join(F.slice(caps, 1, i), "") == "") & (match != "")
+            whole, match = match, F.when(match != "", match).otherwise(F.get(caps, len(WAYS)))
+            fits = lambda f: (alone & (f == whole)) | ~(f.contains(" ") & f.contains("-"))
+        forms = F.filter(_forms(kind, match), fits) if kind == "card" else _forms(kind, match)
+        some = F.transform(forms, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("form")))  # noqa: B023
+        out.append(F.when(match != "", some).otherwise(F.array().cast("array<struct<kind:string,form:string>>")))
+    return F.concat(*out)
+
+
+def _answer(kind: Column, form: Column, key: str) -> Column:
+    """The pseudonym of a value; null where it is not valid."""
     out = None
-    for kind, way in reversed(WAYS.items()):
-        is_kind = match.rlike(f"^(?:{SHAPES[kind]})$")
-        this = F.when(is_kind, way(match, key))
-        found = F.struct(F.lit(kind).alias("kind"), this.alias("pseudonym"))
-        out = found if out is None else F.when(is_kind, found).otherwise(out)
+    for k, way in WAYS.items():
+        out = F.when(kind == k, way(form, key)) if out is None else out.when(kind == k, way(form, key))
     return out
 
 
+def _woven(places: Column) -> Column:
+    """(text, values) of the text from the first place on; a place has the text to the next and its value, if any."""
+    pairs = "array<struct<kind:string,pseudonym:string>>"
+
+    # What begins inside a value that was replaced is part of it.
+    def put(state, place):
+        body, free = place["body"], state["inside"] <= 0
+        new = free & place["value"].isNotNull()
+        inside = F.when(new, place["value"]["n"]).otherwise(state["inside"])
+        rest = F.substring(body, F.greatest(inside, F.lit(0)) + 1, F.length(body))
+        return F.struct(
+            (inside - F.length(body)).alias("inside"),
+            F.concat(state["text"], F.array(F.when(new, F.concat(place["value"]["pseudonym"], rest)).otherwise(rest))).alias("text"),
+            F.when(new, F.concat(state["values"], F.array(F.struct(place["value"]["kind"], place["value"]["pseudonym"])))).otherwise(state["values"]).alias("values"),
+        )
+
+    # Some places at a time, so that lists that grow by every place stay short.
+    def some(state, first):
+        begin = F.struct(state["inside"].alias("inside"), F.array().cast("array<string>").alias("text"), F.array().cast(pairs).alias("values"))
+        return F.aggregate(F.slice(places, first, F.lit(TOGETHER)), begin, put, lambda s: F.struct(
+            s["inside"].alias("inside"), F.concat(state["text"], F.array(F.array_join(s["text"], ""))).alias("text"),
+            F.concat(state["values"], F.array(s["values"])).alias("values"),
+        ))
+
+    start = F.struct(F.lit(0).alias("inside"), F.array().cast("array<string>").alias("text"), F.array().cast(f"array<{pairs}>").alias("values"))
+    firsts = F.sequence(F.lit(1), F.size(places), F.lit(TOGETHER))
+    return F.aggregate(firsts, start, some, lambda s: F.struct(F.array_join(s["text"], "").alias("text"), F.flatten(s["values"]).alias("values")))
+
+
+def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once: a generator keeps it from being put in wherever it is used."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, text with all valid values replaced, n_values, and `values` in order.
 
-    `values` holds (kind, pseudonym), never what stood there before. A null text stays null, with no
-    values. Texts are read whole. Null ids and repeated rows are rows like others; an empty table gives
-    no rows. Whoever has the key can link a value to its pseudonym: keep it apart from the data.
+    Values are looked for wherever a shape begins, also within one that was no valid value and behind the
+    end of a shorter one that was. `values` holds (kind, pseudonym), never what stood there before. A null
+    text stays null, with no values. Texts are read whole. Null ids and repeated rows are rows like others;
+    an empty table gives no rows. Whoever has the key can link a value to its pseudonym: keep it apart from
+    the data.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    none = F.array().cast("array<string>")
-    found = rows.withColumn("matches", F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
-    answered = found.withColumn("answers", F.transform("matches", lambda m: _answer(m, key)))
-    parts = F.split("text", ANY, -1)
-    put = F.transform("matches", lambda m, i: F.coalesce(F.get(F.col("answers"), i)["pseudonym"], m))
-    woven = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(F.col("put"), i), F.lit(""))))), "")
+    shown = MARK + ";" + (MARK + ":").join(f"${g}" for g in GROUPS) + MARK + ";"
+    marked = F.regexp_replace(F.replace("text", F.lit(MARK), F.lit(MARK + "!")), F.lit(STARTS), F.lit(shown))
+    # The text to the first place, then in turn the shapes of a place and the text to the next.
+    parts = _once(rows, "parts", F.when(F.col("text").rlike(SIGN), F.split(marked, MARK + ";", -1)))
+    odd = F.when(F.size("parts") > 1, F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)))
+    tried = _once(parts, "tried", F.transform(odd, lambda i: _named(F.split(F.get("parts", i), MARK + ":", -1), _candidates)))
+
+    def first_valid(forms):
+        answers = F.transform(forms, lambda c: F.struct(c["kind"].alias("kind"), _answer(c["kind"], c["form"], key).alias("pseudonym"), F.length(c["form"]).alias("n")))
+        return F.get(F.filter(answers, lambda a: a["pseudonym"].isNotNull()), F.lit(0))
+
+    answered = _once(tried, "answers", F.transform("tried", first_valid))
+    places = _once(answered, "places", F.transform("answers", lambda a, i: F.struct(F.get("parts", 2 * i + 2).alias("body"), a.alias("value"))))
+    woven = _once(places, "woven", F.when(F.col("places").isNotNull(), _woven(F.col("places"))))
+    whole = F.replace(F.concat(F.get("parts", F.lit(0)), "woven.text"), F.lit(MARK + "!"), F.lit(MARK))
     return (
-        answered.withColumn("put", put)
-        .select(
-            "doc_id", F.when(F.size("matches") == 0, F.col("text")).otherwise(woven).alias("text"),
-            F.filter(F.coalesce("answers", F.array().cast("array<struct<kind:string,pseudonym:string>>")), lambda a: a["pseudonym"].isNotNull()).alias("values"),
-        )
+        woven.select("doc_id", F.when(F.size("woven.values") > 0, whole).otherwise(F.col("text")).alias("text"),
+                     F.coalesce("woven.values", F.array().cast("array<struct<kind:string,pseudonym:string>>")).alias("values"))
         .select("doc_id", "text", F.size("values").cast("long").alias("n_values"), "values")
     )

@@ -104,3 +104,27 @@ def test_values_of_single_digits(docs):
     new = ".".join(map(str, feistel([8] * 4, [256] * 4, "ip")))
     assert alone[:2] == [f"ask {new} first", f"ask {new} first, 12 times"]
     assert alone[2] != "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1" and luhn(alone[2].replace(" ", ""))
+
+
+CARD, AMEX, IBAN = "4111 1111 1111 1111", "3782 822463 10005", "AT61 1904 3002 3473 2021"
+
+
+BESIDE = [
+    (f"{CARD} 12/27", [CARD]), (f"{CARD} 124", [CARD]), (f"{CARD}-124 x", [CARD]), (f"5 {CARD}", [CARD]), (f"12-{CARD}", [CARD]), (f"{AMEX} {AMEX}.", [AMEX, AMEX]),
+    (f"{CARD} 01/02/2020", [CARD, "01/02/2020"]), (f"{IBAN} BIC", [IBAN]), (f"{IBAN} BICCODEX", [IBAN]), (f"DE12 {IBAN}", [IBAN]),
+    (f"+44 20 7946 0958 2021 {CARD}", ["+44 20 7946 0958", CARD]), ("4539148803436468@x.org", ["4539148803436468@x.org"]), (f"\x1a!\x1a;{CARD} 12/27\x1a:", [CARD]),
+    ("8.8.8.8, " * 1000, ["8.8.8.8"] * 1000),
+]
+
+
+def test_values_beside_short_tokens(docs):
+    values = sorted({v for _, some in BESIDE for v in some})
+    got = only(docs, *values, *(text for text, _ in BESIDE))
+    new = dict(zip(values, got))
+    assert all(a != b for a, b in new.items())
+    for (text, some), shown in zip(BESIDE, got[len(values):]):
+        want, rest = "", text
+        for v in some:
+            before, rest = rest.split(v, 1)
+            want += before + new[v]
+        assert shown == want + rest
