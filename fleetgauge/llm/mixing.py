@@ -3,9 +3,9 @@
 Every source gets a target in words. What goes beyond whole copies of the source is an exact quota of
 blocks, which a binary tree splits among leaves: at each node the left half's share is a hypergeometric
 draw from the blocks below, so the leaves' quotas are one multivariate hypergeometric draw and add up
-to the source's quota. A leaf draws disjoint blocks in a permuted order, up to its quota. The documents
-at which the leaves end are too long for their rests; the source's rest is filled with the largest of
-these that fit.
+to the source's quota. A leaf draws disjoint blocks in a permuted order, up to its quota, and passes over
+documents that don't fit. The source's rest is filled with the largest that fit of the documents behind
+the leaves' ends, and what is left then with the largest that fit of all, until none does.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from fleetgauge.llm.common import WORD, pinned
 LEAF_DOCS, MOST_LEAVES, LEAST_BLOCKS = 256, 1 << 16, 1 << 16
 #: Bins whose order is permuted within a leaf.
 BINS = 16
-#: Documents per source that may settle its rest, at least.
+#: Documents per source that are tried first for its rest, at least.
 SETTLERS = 64
 
 
@@ -116,13 +116,53 @@ def _split_quota(prefix: Column, depth: Column, quota: Column, key: Column, seed
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Rows in the permuted order of their leaf: `place` from 1, and the words up to and with each row."""
+    """Rows in the permuted order of their leaf: `place` from 1, and whether a row `fits` the leaf's goal.
+
+    Rows longer than the goal are passed over; so are, in a second run, those longer than what the first one left.
+    """
     line = Window.partitionBy("key", "leaf").orderBy(
         F.xxhash64(F.lit(1), F.pmod(F.col("draw"), F.lit(BINS)), "leaf"), F.xxhash64(F.lit(2), "draw"), "doc_id"
     )
-    return rows.withColumn("place", F.row_number().over(line)).withColumn(
-        "reach", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    up_to, whole = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    words = lambda fits, over: F.coalesce(F.sum(F.when(fits, F.col("size"))).over(over), F.lit(0))
+    short = F.col("size") <= F.col("goal")
+    again = ~F.col("first") & (F.col("size") <= F.col("over"))
+    return (
+        rows.withColumn("place", F.row_number().over(line))
+        .withColumn("first", short & (words(short, up_to) <= F.col("goal")))
+        .withColumn("over", F.col("goal") - words(F.col("first"), whole))
+        .withColumn("fits", F.col("first") | (again & (words(again, up_to) <= F.col("over"))))
+        .drop("first", "over")
+    )
+
+
+def _filled(undrawn: DataFrame, left: DataFrame) -> DataFrame:
+    """(key, leaf, place) of the undrawn rows that fill what is `left` of each source: the largest that fit, until none fits."""
+    fitting = undrawn.join(left, "key").where((F.col("size") > 0) & (F.col("size") <= F.col("left"))).drop("left")
+    counted = fitting.groupBy("key", "size", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    # One entry per source and size.
+    sizes = (
+        counted.groupBy("key", "size").agg(F.sum("n").alias("n"))
+        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes")).join(left, "key")
+    )
+
+    def take(s, x):
+        n = F.least(x["n"], F.floor(s["left"] / x["size"]))
+        return F.when(
+            x["size"] <= s["left"],
+            F.struct((s["left"] - n * x["size"]).alias("left"), F.concat(s["got"], F.array(F.struct(x["size"].alias("size"), n.alias("take")))).alias("got")),
+        ).otherwise(s)
+
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<size:bigint,take:bigint>>").alias("got"))
+    takes = sizes.select("key", F.explode(F.aggregate("sizes", start, take, lambda s: s["got"])).alias("got")).select("key", "got.size", "got.take")
+    before = Window.partitionBy("key", "size").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    per_leaf = (
+        counted.join(takes, ["key", "size"])
+        .withColumn("take", F.least("n", F.col("take") - F.coalesce(F.sum("n").over(before), F.lit(0))))
+        .where("take > 0").select("key", "size", "leaf", "take")
     )
+    rank = F.row_number().over(Window.partitionBy("key", "leaf", "size").orderBy("place"))
+    return fitting.join(per_leaf, ["key", "size", "leaf"]).withColumn("rank", rank).where("rank <= take").select("key", "leaf", "place")
 
 
 def mix_plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42, carry=(), id_col="doc_id", text_col="text",
@@ -131,7 +171,7 @@ def mix_plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42,
 
     `size` counts the words of the text (null: none). Sources are ordered by code point, a null source
     last; `target` is the words that the source should give, and `taken` is `copies` times the size, so
-    that a source's taken words miss its target by less than its smallest documents at hand. Drawing
+    that a source's taken words miss its target by less than its smallest document not drawn. Drawing
     depends on the id, the text and the seed alone, so reruns agree. Null ids and repeated rows are
     documents like others. A text without words has nothing to take; an empty table gives no rows.
     """
@@ -177,9 +217,10 @@ def mix_plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42,
     )
     quotas = pinned(quotas, "mix-quotas")
     goals = quotas.select("key", "leaf", "goal")
-    placed = _placed(in_leaves(narrow).join(goals, ["key", "leaf"])).withColumn("fits", F.col("reach") <= F.col("goal"))
+    placed = _placed(in_leaves(narrow).join(goals, ["key", "leaf"]))
+    placed = pinned(placed, "mix-placed")
     ends = placed.groupBy("key", "leaf").agg(
-        F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))), F.lit(0)).alias("drawn"),
+        F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("drawn"),
         F.coalesce(F.max(F.when(F.col("fits"), F.col("place"))), F.lit(0)).alias("last"),
     )
     left = ends.groupBy("key").agg(F.sum("drawn").alias("drawn")).join(sources.select("key", "rest"), "key").select(
@@ -187,7 +228,7 @@ def mix_plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42,
     )
     next_ones = (
         placed.where(~F.col("fits") & (F.col("size") > 0)).join(ends.select("key", "leaf", "last"), ["key", "leaf"])
-        .where(F.col("place") - F.col("last") <= F.ceil(F.lit(SETTLERS) / F.col("leaves")))
+        .where((F.col("place") - F.col("last")).between(1, F.ceil(F.lit(SETTLERS) / F.col("leaves"))))
         # As many rows per source as it has leaves, or SETTLERS.
         .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "draw", "leaf", "place")), asc=False).alias("next"))
         .join(left, "key")
@@ -201,11 +242,13 @@ def mix_plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42,
         ).otherwise(s),
         lambda s: s["got"],
     )
-    picked = pinned(
-        next_ones.select("key", F.explode(settled).alias("got")).select("key", "got.leaf", "got.place", F.lit(1).alias("picked")),
-        "mix-settled",
-    )
-    full = placed if not carry else _placed(in_leaves(rows).join(goals, ["key", "leaf"])).withColumn("fits", F.col("reach") <= F.col("goal"))
+    near = pinned(next_ones.select("key", F.explode(settled).alias("got")).select("key", "got.leaf", "got.place"), "mix-settled")
+    undrawn = placed.where(~F.col("fits")).select("key", "leaf", "place", "size")
+    got = undrawn.join(near, ["key", "leaf", "place"]).groupBy("key").agg(F.sum("size").alias("got"))
+    still = left.join(got, "key", "left").select("key", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"))
+    others = undrawn.join(near, ["key", "leaf", "place"], "left_anti")
+    picked = pinned(near.union(_filled(others, pinned(still, "mix-left"))).withColumn("picked", F.lit(1)), "mix-filled")
+    full = placed if not carry else _placed(in_leaves(rows).join(goals, ["key", "leaf"]))
     return (
         full.join(picked, ["key", "leaf", "place"], "left")
         .withColumn("copies", F.col("whole") + F.when(F.col("fits") | F.col("picked").isNotNull(), 1).otherwise(0))

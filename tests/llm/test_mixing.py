@@ -81,3 +81,20 @@ def test_hypergeometric_draws(spark):
         spread = mean * right / n * (n - drawn) / max(n - 1, 1)
         assert row[0] == pytest.approx(mean, abs=0.02) and row[3] == pytest.approx(spread, rel=0.03, abs=0.01)
         assert max(0, drawn - right) <= row[1] and row[2] <= min(left, drawn)
+
+
+def test_long_documents_are_passed_over(docs):
+    """One document of 40 percent of a source's words, or longer than its target, wherever it is drawn."""
+    rows = []
+    for k in range(12):
+        size, n, long = (100, 299, 20_000) if k % 2 else (10, 900, 6000)
+        rows += [(10_000 * k + i, words(size), None, f"s{k:02d}") for i in range(n)] + [(10_000 * k + n, words(long), None, f"s{k:02d}")]
+    got = plan_of(docs, rows)
+    most = {}
+    for r in got:
+        most.setdefault(r["doc_id"] // 10_000, []).append(r)
+    for some in most.values():
+        missed = some[0]["target"] - sum(r["taken"] for r in some)
+        least = min(r["copies"] for r in some)
+        undrawn = [r["size"] for r in some if r["copies"] == least]
+        assert -1 <= missed < min(undrawn)
