@@ -14,7 +14,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import pinned
@@ -46,16 +46,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as a signed long; if `marked`, also `mark`, a hash of the text."""
+    more = [F.xxhash64(text_col).alias("mark")] if marked else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
     def run(batches):
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "fp"])
+            rest = [batch.column(i) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), *rest], ["doc_id", "fp", *(["mark"] if rest else [])])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + (", mark long" if marked else ""))
 
 
 def _masks() -> list[int]:
@@ -232,18 +234,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     link others but name no component; a component of such rows alone has a null id. Repeated rows are
     kept; an empty table gives no rows.
     """
-    prints = pinned(fingerprints(docs, id_col, text_col), "simhash-prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = _grouped(pinned(fingerprints(docs, id_col, text_col), "simhash-prints"), F.col("doc_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(prints: DataFrame, name: Column) -> DataFrame:
+    """Adds component_id, the smallest name of the rows that links reach."""
+    distinct = prints.groupBy("fp").agg(F.min(name).alias("least"))
     found = components(links(distinct.select("fp")))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # One row per distinct fingerprint; each component's smallest id goes back to its fingerprints.
+    # One row per distinct fingerprint; each component's smallest name goes back to its fingerprints.
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of_print, "fp")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`: the smallest id of each component, and null ids."""
-    found = near_copies(docs, id_col, text_col)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(copies, docs[id_col] == copies["_copy_id"], "left_anti")
+    """The rows of `docs` that stay, with the columns of `docs`: the smallest id of each component, and null ids.
+
+    Rows are told apart by id and text: where an id is repeated, only the row that is a copy goes, and of the
+    texts that a component's smallest id has, one stays. Rows equal in both stay or go together.
+    """
+    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    found = _grouped(pinned(fingerprints(docs, id_col, text_col, marked=True), "simhash-prints"), name)
+    copies = found.where(name != F.col("component_id")).select(F.col("doc_id").alias("_copy_id"), F.col("mark").alias("_copy_mark"))
+    return docs.join(copies, (docs[id_col] == copies["_copy_id"]) & (F.xxhash64(docs[text_col]) == copies["_copy_mark"]), "left_anti")

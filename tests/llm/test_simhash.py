@@ -97,6 +97,15 @@ def test_one_of_each(docs):
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted((d for (d, _), c in zip(rows, want) if d is None or d == c), key=repr)
 
 
+def test_one_of_each_with_repeated_ids(docs):
+    """Id 2 is a copy in one group and stands for another; id 7 has both texts of its group."""
+    rows = [(1, "a b c"), (2, "A b c"), (2, "other words stand here"), (3, "Other words stand here"), (7, "lone"), (7, "Lone"), (2, "Lone")]
+    out = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs(rows[:-1])).collect()]
+    assert len(out) == 3 and {(1, "a b c"), (2, "other words stand here")} < set(out) and {r[1].lower() for r in out} >= {"lone"}
+    out = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs(rows)).collect()]
+    assert sorted(out) == [(1, "a b c"), (2, "Lone"), (2, "other words stand here")]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 1), (2, 3), (9, 9), (10, 11), (None, 4)] + [(i, i + 1) for i in range(100, 200)] + [(500, 500 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
