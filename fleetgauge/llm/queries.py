@@ -154,3 +154,53 @@ def op1_feistel(spark, folder):
 
     # The key of this query is open, so that its results can be checked; a real one belongs in a vault.
     return with_pseudonyms(read(spark, folder, "documents"), key="open key of the registered query")
+
+
+@query
+def op13_crc_matrices(spark, folder):
+    from fleetgauge.llm.resampling import resampled
+
+    return resampled(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLES["op13_crc_matrices"] = r"""
+WITH RECURSIVE bytes(b, c, k) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bytes WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS crc_of FROM bytes WHERE k = 8
+), texts AS (
+  SELECT true AS own, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT false, item_id, coalesce(text, '') FROM benchmark
+), words AS (
+  SELECT own, id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), features AS (
+  SELECT own, row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                                list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM words
+), counted AS (
+  SELECT own, row_id, f, count(*) AS n FROM features GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                            lambda c, b: xor(c // 256, crc_of[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM hexed, crc_table
+), in_buckets AS (
+  SELECT range AS bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t
+  FROM range(10000) LEFT JOIN (SELECT own, bucket, n FROM counted JOIN hashed USING (f)) ON bucket = range GROUP BY range
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM in_buckets
+), weights AS (
+  SELECT row_id, sum(n * gain) AS weight, sum(n) AS n_features FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE own GROUP BY row_id
+), scores AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row_id) WHERE own
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank, n_words FROM places
+"""
