@@ -204,3 +204,10 @@ WITH RECURSIVE bytes(b, c, k) AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank, n_words FROM places
 """
+
+
+@query
+def op11_jacobi_davidson(spark, folder):
+    from fleetgauge.llm.whitening import whitened
+
+    return whitened(read(spark, folder, "embeddings"))
