@@ -211,3 +211,10 @@ def op11_jacobi_davidson(spark, folder):
     from fleetgauge.llm.whitening import whitened
 
     return whitened(read(spark, folder, "embeddings"))
+
+
+@query
+def op12_factorization_machine(spark, folder):
+    from fleetgauge.llm.toxicity import toxicity
+
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
