@@ -105,9 +105,12 @@ DISTRIBUTION_METRICS = ["battery_pct", "temperature_c", "signal_strength_dbm", "
 
 # Limits of the live ingest.
 FLUSH_MILLISECONDS = 500
-BATCH_RECORDS = 1000
 TAP_RECORDS = 50
 DEFAULT_SOURCE = "realtime"
 
+# Ours: seconds for which a stream knows the keys that came, and batches after which the store merges.
+DEDUP_SECONDS = 600
+MERGE_EVERY = 25
+
 EARTH_RADIUS_KM = 6371.0
 DEFAULT_ALTITUDE_KM = 400.0

@@ -21,9 +21,9 @@ JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def _as_declared(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns by name in declared order and type; absent ones are null, NaN becomes null."""
-    columns = []
+    columns, present = [], set(df.columns)
     for field in schema.fields:
-        if field.name not in df.columns:
+        if field.name not in present:
             value = F.lit(None).cast(field.dataType)
         elif field.dataType == T.DoubleType():
             value = F.nanvl(F.col(field.name).cast("double"), F.lit(None).cast("double"))
@@ -42,10 +42,22 @@ def scan_telemetry(source: DataFrame | str, spark: SparkSession | None = None) -
 
 
 def sql_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args: dict | None = None) -> DataFrame:
-    """User SQL over named tables, with bound arguments."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args)
+    """User SQL over named tables, with bound arguments.
+
+    The names are views only while the text is analysed: afterwards those that the caller had before are back,
+    and no other is left behind.
+    """
+    before = {n: spark.table(n) for n in tables if any(t.isTemporary for t in spark.catalog.listTables(pattern=n))}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql, args=args)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def generate_ids(df: DataFrame, first: int = 1) -> DataFrame:
@@ -53,9 +65,10 @@ def generate_ids(df: DataFrame, first: int = 1) -> DataFrame:
     return df.withColumn("id", F.monotonically_increasing_id() + F.lit(first))
 
 
-def coerce_batch(records: DataFrame) -> DataFrame:
-    """Live records (text timestamps, any columns missing) as telemetry rows without id."""
-    return _as_declared(records, schemas.TELEMETRY).drop("id")
+def coerce_batch(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Live records (text timestamps, any columns missing) as telemetry rows without id; `keep` names columns beside."""
+    declared = T.StructType(schemas.TELEMETRY.fields + [records.schema[c] for c in keep])
+    return _as_declared(records, declared).drop("id")
 
 
 def numbered(df: DataFrame, coming: str, first: int) -> DataFrame:

@@ -1,17 +1,18 @@
 """Live records into the telemetry store: parse, check, fill, deduplicate, write, count.
 
-The stream itself keeps no state and has no watermark, so a record may be as late as it likes. What
-is a repeat is decided when a batch is written, against the keys stored for the days it touches. Each
-batch leaves its accepted rows, its rejects with the reason, and one row of counts; a batch that failed
-half-way is written again in full. Sources are throttled by their own limits, so a burst waits.
-A store has one writer at a time; several streams may follow each other.
+Repeats that follow each other soon are dropped by the stream itself, in a state that forgets a key some time
+after it came. A record may be as late as it likes all the same: the time that runs the state is that of
+arrival, and a record that may have been stored before the state knew its key is looked up in the store when
+its batch is written. Each batch leaves its accepted rows, its rejects with the reason, and one row of counts;
+a batch that failed half-way is written again in full. Sources are throttled by their own limits, so a burst
+waits. A store has one writer at a time; several streams may follow each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,14 +21,18 @@ from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.operators.select import fill_ingest_defaults, parsed_timestamp
 from fleetgauge.sources.tables import JSON_TIME, coerce_batch, numbered, path_exists, remove_path, scan_telemetry
+from fleetgauge.streaming.store import COUNTS, LOG, Run, Store, read_batches, read_stored
 
 BatchWriter = Callable[[DataFrame, int], None]
 
 #: Holds the text of a message that is no record.
 UNREADABLE = "unreadable"
 KEY = ("satellite_id", "timestamp")
-COUNTS = ("received", "valid", "accepted", "repeated", "rejected", "unreadable")
-_BATCHES = ", ".join(f"{c} long" for c in COUNTS) + ", first_id long, source string, batch long"
+#: When a batch came, and since when the stream knows all keys.
+ARRIVED, KNOWN_SINCE = "arrived_at", "known_since"
+#: The queries that `stream_flush` has started, by id.
+_RUNNING: dict[str, StreamingQuery] = {}
+_REJECTED = f"satellite_id string, received_time string, {UNREADABLE} string, reject_reason string, source string, batch long"
 
 
 def stream_source_json(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -61,14 +66,22 @@ def accepted_records(ingested: DataFrame) -> DataFrame:
     return ingested.where("reject_reason IS NULL").drop("reject_reason", "received_time", UNREADABLE)
 
 
-def stream_dedup(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def stream_dedup(records: DataFrame, stored: DataFrame | None = None, seconds: int = C.DEDUP_SECONDS) -> DataFrame:
     """The records whose (satellite, timestamp) is new: one of equals, and none that `stored` has.
 
-    Of equal keys the record that sorts first, column by column.
+    On a stream, repeats that arrive up to `seconds` after the first are dropped by a state, which forgets a key
+    after twice that time at most; the columns added say when a record came and since when keys are known, and
+    `store_batch` looks up the rest. Records with a reject reason are no repeats of each other. In a batch, of
+    equal keys the record that sorts first, column by column.
     """
-    others = [c for c in batch.columns if c not in KEY]
-    one = batch.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_first")).select(*KEY, "_first.*").select(*batch.columns)
-    return one if stored is None else one.join(stored.select(*KEY), list(KEY), "left_anti").select(*batch.columns)
+    if records.isStreaming:
+        own = F.when(F.col("reject_reason").isNotNull(), F.uuid()) if "reject_reason" in records.columns else F.lit(None).cast("string")
+        came = records.withColumn(ARRIVED, F.current_timestamp()).withColumn("_own", own).withWatermark(ARRIVED, f"{seconds} seconds")
+        known = F.col(ARRIVED) - F.make_interval(secs=F.lit(seconds))
+        return came.dropDuplicatesWithinWatermark([*KEY, "_own"]).drop("_own").withColumn(KNOWN_SINCE, known)
+    others = [c for c in records.columns if c not in KEY]
+    one = records.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_first")).select(*KEY, "_first.*").select(*records.columns)
+    return one if stored is None else one.join(stored.select(*KEY), list(KEY), "left_anti").select(*records.columns)
 
 
 def _source_of(spark: SparkSession) -> str:
@@ -76,69 +89,85 @@ def _source_of(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batches"
 
 
+def _dropped_before(source: str, batch_id: int) -> int:
+    """Repeats that the state dropped from the batch before, as its progress says."""
+    for progress in reversed(_RUNNING[source].recentProgress if source in _RUNNING else []):
+        if progress["batchId"] == batch_id - 1:
+            return sum(int(s["customMetrics"].get("numDroppedDuplicateRows", 0)) for s in progress["stateOperators"])
+    return 0
+
+
 def _day(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd")
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One row of counts per finished batch of all queries that wrote to the store."""
-    if not path_exists(spark, f"{path}/_batches"):
-        return spark.createDataFrame([], _BATCHES)
-    return spark.read.schema(_BATCHES).parquet(f"{path}/_batches")
-
+def store_batch(path: str, merge_every: int = C.MERGE_EVERY) -> BatchWriter:
+    """Stores each batch as a run of the store; a repeated batch replaces its first attempt.
 
-def store_batch(path: str) -> BatchWriter:
-    """Stores each batch in a folder of its query and number; a repeated batch replaces its first attempt."""
+    Only records that may be stored already are looked up, in the days they are of; counts come from the jobs
+    that write. After every `merge_every` batches their runs are merged.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         source = _source_of(spark)
-        place = f"source={source}/batch={batch_id}"
-        own = (F.col("source") == source) & (F.col("batch") == batch_id)
+        Store(spark, path).merge(merge_every)
+        store = Store(spark, path)
+        at = store.position(source, batch_id)
+        run = Run.of_batch(at.number, source, batch_id)
+        coming = f"{path}/_coming/{run.name}"
+
         ingested = batch if "reject_reason" in batch.columns else stream_ingest(batch)
-        first_id = read_batches(spark, path).where(~own).agg(F.max(F.col("first_id") + F.col("accepted"))).first()[0] or 1
-
-        rejects = ingested.where("reject_reason IS NOT NULL")
-        rejects.select("satellite_id", "received_time", UNREADABLE, "reject_reason").write.mode("overwrite").parquet(f"{path}/_rejects/{place}")
-        rows = coerce_batch(accepted_records(ingested))
-        stored = None
-        if path_exists(spark, f"{path}/telemetry"):
-            # As many values as the batch has days; only their folders are read.
-            days = [r[0] for r in rows.select(_day(F.col("timestamp"))).distinct().collect()]
-            stored = read_stored(spark, path).where(F.col("day").isin(days) & ~own)
-        fresh = stream_dedup(rows, stored)
-        coming = f"{path}/_coming/{place}"
-        rows_with_ids = numbered(fresh, coming, int(first_id))
-        (
-            scan_telemetry(rows_with_ids).withColumn("day", _day(F.col("timestamp")))
-            .write.mode("overwrite").partitionBy("day").parquet(f"{path}/telemetry/{place}")
+        known = KNOWN_SINCE in ingested.columns
+        for name in (ARRIVED, KNOWN_SINCE):
+            if not known:
+                ingested = ingested.withColumn(name, F.lit(None).cast("timestamp"))
+        received, unique = Observation(), Observation()
+        counted = ingested.observe(
+            received, F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("valid"),
+            F.count_if(F.col("reject_reason") == "unreadable").alias("unreadable"), F.min(ARRIVED).alias("arrived"),
         )
-        counts = ingested.agg(
-            F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("valid"),
-            F.count_if(F.col("reject_reason") == "unreadable").alias("unreadable"),
-        ).first()
-        accepted = spark.read.schema(fresh.schema).parquet(coming).count()
-        row = (counts.received, counts.valid, accepted, counts.valid - accepted, counts.received - counts.valid, counts.unreadable, int(first_id))
-        log = spark.createDataFrame([row], ", ".join(f"{c} long" for c in (*COUNTS, "first_id")))
-        log.write.mode("overwrite").parquet(f"{path}/_batches/{place}")
+        maybe = at.maybe_stored(F.col("timestamp"), F.col(KNOWN_SINCE))
+        rows = coerce_batch(accepted_records(counted).withColumn("_maybe", maybe), keep=("_maybe",))
+        single = rows if known else stream_dedup(rows)
+        single = single.observe(unique, F.count_if("_maybe").alias("maybe"), F.collect_set(F.when(F.col("_maybe"), _day(F.col("timestamp")))).alias("days"))
+        single.write.mode("overwrite").parquet(f"{coming}/unique")
+        counts, doubts = received.get, unique.get
+        fresh = spark.read.schema(single.schema).parquet(f"{coming}/unique")
+        if doubts.get("maybe"):
+            stored = store.rows([r for r in store.live() if r != run], doubts["days"])
+            fresh = fresh.where("NOT _maybe").unionByName(stream_dedup(fresh.where("_maybe"), stored))
+
+        written = Observation()
+        placed = numbered(fresh.drop("_maybe"), f"{coming}/fresh", at.first_id)
+        typed = placed.select(*schemas.TELEMETRY.names, _day(F.col("timestamp")).alias("day"))
+        store.write_rows(
+            typed.observe(written, F.count(F.lit(1)).alias("accepted"), F.max("timestamp").alias("newest"), F.sort_array(F.collect_set("day")).alias("days")), run
+        )
+        total, valid, accepted = counts.get("received") or 0, counts.get("valid") or 0, written.get.get("accepted") or 0
+        if total > valid:
+            rejects = ingested.where("reject_reason IS NOT NULL").select("satellite_id", "received_time", UNREADABLE, "reject_reason")
+            rejects.write.mode("overwrite").parquet(f"{path}/_rejects/source={source}/batch={batch_id}")
+        newest = max((t for t in (at.before, written.get.get("newest")) if t), default=None)
+        row = (
+            at.number, source, batch_id, total, valid, accepted, valid - accepted, total - valid, counts.get("unreadable") or 0,
+            _dropped_before(source, batch_id), at.first_id, at.first_id + accepted, at.floor, at.before, newest, counts.get("arrived"), at.history, written.get.get("days") or [],
+        )
+        store.write_log(spark.createDataFrame([row], LOG), run)
         remove_path(spark, coming)
 
     return write
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """The store with the folders of its rows: source, batch and day."""
-    schema = T.StructType(schemas.TELEMETRY.fields + [T.StructField(n, t) for n, t in (("source", T.StringType()), ("batch", T.LongType()), ("day", T.StringType()))])
-    return spark.read.schema(schema).parquet(f"{path}/telemetry")
-
-
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return scan_telemetry(read_stored(spark, path))
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """What could not be stored, with the reason."""
-    return spark.read.schema(f"satellite_id string, received_time string, {UNREADABLE} string, reject_reason string, source string, batch long").parquet(f"{path}/_rejects")
+    if not path_exists(spark, f"{path}/_rejects"):
+        return spark.createDataFrame([], _REJECTED)
+    return spark.read.schema(_REJECTED).parquet(f"{path}/_rejects")
 
 
 def tap_batch(path: str, records: int = C.TAP_RECORDS) -> BatchWriter:
@@ -178,9 +207,12 @@ def stream_flush(
 ) -> StreamingQuery:
     """Starts the query that hands over what has arrived every so many milliseconds."""
     sink = records.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(writer)
-    if available_now:
-        return sink.trigger(availableNow=True).start()
-    return sink.trigger(processingTime=f"{milliseconds} milliseconds").start()
+    trigger = {"availableNow": True} if available_now else {"processingTime": f"{milliseconds} milliseconds"}
+    query = sink.trigger(**trigger).start()
+    for ended in [k for k, q in _RUNNING.items() if not q.isActive]:
+        del _RUNNING[ended]
+    _RUNNING[query.id] = query
+    return query
 
 
 def stream_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,19 @@
 """Streaming: rejects, defaults, repeats, replay of a batch."""
 
+import datetime as dt
 import json
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from fleetgauge.schemas import TELEMETRY
 from fleetgauge.sources import tables
 from fleetgauge.streaming import ingest, live
+from fleetgauge.streaming.store import LOG, Position, Run, Store, thinned
 
 
 def write(folder, name, records):
@@ -123,3 +133,158 @@ def test_registry_file_and_versions(spark, tmp_path):
     tables.save_registry(registry, str(tmp_path / "saved"))
     tables.save_registry(registry.where("name = 'a'"), str(tmp_path / "saved"))
     assert tables.load_saved_registry(spark, str(tmp_path / "saved")).count() == 1
+
+
+def deduplicated(spark, inbox, store, checkpoint, seconds=600):
+    records = ingest.stream_dedup(ingest.stream_ingest(ingest.stream_source_json(spark, str(inbox), files_per_batch=1)), seconds=seconds)
+    query = ingest.stream_flush(records, ingest.on_batch(ingest.store_batch(str(store))), str(checkpoint), available_now=True)
+    query.awaitTermination()
+    return query
+
+
+def test_keys_survive_a_restart(spark, tmp_path):
+    """The state knows what came before the query was started again; rejects are never repeats of each other."""
+    inbox, store, checkpoint = (tmp_path / n for n in ("in", "store", "checkpoint"))
+    bad = {"satellite_id": "A", "timestamp": "x"}
+    write(inbox, "1.json", [GOOD, bad, bad, {**GOOD, "satellite_id": "B"}])
+    first = deduplicated(spark, inbox, store, checkpoint)
+    assert first.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    write(inbox, "2.json", [GOOD, bad, {**GOOD, "timestamp": "2024-01-01T11:00:00"}])
+    second = deduplicated(spark, inbox, store, checkpoint)
+    assert sum(int(p["stateOperators"][0]["customMetrics"]["numDroppedDuplicateRows"]) for p in second.recentProgress) == 1
+    assert second.lastProgress["stateOperators"][0]["numRowsTotal"] == 6
+    stored = ingest.read_store(spark, str(store))
+    assert sorted((r.satellite_id, r.timestamp.hour) for r in stored.collect()) == [("A", 11), ("A", 12), ("B", 12)]
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3]
+    totals = ingest.stream_totals(ingest.stream_stats(spark, str(store))).first()
+    assert (totals.received_total, totals.valid_total, totals.accepted_total, totals.repeated_total, totals.rejected_total) == (7, 4, 3, 1, 3)
+
+
+def test_state_forgets_and_the_store_does_not(spark, tmp_path):
+    """A repeat that comes when the state has dropped its key is found in the store; a new late record is stored."""
+    inbox, store, checkpoint = (tmp_path / n for n in ("in", "store", "checkpoint"))
+    for name, records in [("1", [GOOD]), ("2", [{**GOOD, "satellite_id": "B"}]), ("3", [{**GOOD, "satellite_id": "C"}])]:
+        write(inbox, f"{name}.json", records)
+        deduplicated(spark, inbox, store, checkpoint, seconds=1)
+        time.sleep(3)
+    write(inbox, "4.json", [GOOD, {**GOOD, "timestamp": "2024-01-01T10:00:00"}])
+    query = deduplicated(spark, inbox, store, checkpoint, seconds=1)
+    assert sum(int(p["stateOperators"][0]["customMetrics"]["numDroppedDuplicateRows"]) for p in query.recentProgress) == 0
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    stored = ingest.read_store(spark, str(store))
+    assert sorted((r.satellite_id, r.timestamp.hour) for r in stored.collect()) == [("A", 10), ("A", 12), ("B", 12), ("C", 12)]
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3, 4]
+
+
+def folders(path):
+    return sum(p.is_dir() for p in path.rglob("*"))
+
+
+def put(folder, schema, rows):
+    """A finished folder of one small file, without a job."""
+    folder.mkdir(parents=True)
+    pq.write_table(pa.Table.from_pylist(rows, to_arrow_schema(schema)), folder / "part-0.parquet", coerce_timestamps="us")
+    (folder / "_SUCCESS").touch()
+
+
+def test_cost_of_a_batch_does_not_grow(spark, tmp_path):
+    """Three hundred batches: few folders are left, the newest is found among them, and no row is lost."""
+    path, most = tmp_path / "store", 0
+    log_schema = spark.createDataFrame([], LOG).schema
+    at = Position()
+    for n in range(300):
+        if n % 10 == 1:
+            Store(spark, str(path)).merge(10)
+        if n % 100 == 50:
+            store = Store(spark, str(path))
+            assert store.position("stream", n) == at and len(at.history) <= 40
+            most = max(most, len(store.runs), folders(path / "_log"))
+        run, time_ = Run.of_batch(n, "stream", n), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=7 * n)
+        put(path / "telemetry" / f"day={time_:%Y-%m-%d}" / run.place, TELEMETRY, [{"id": n + 1, "satellite_id": "A", "timestamp": time_}])
+        row = dict.fromkeys(ingest.COUNTS, 0) | dict(received=1, valid=1, accepted=1)
+        history = [{"arrived": a, "newest": b} for a, b in at.history]
+        row |= dict(number=n, source="stream", batch=n, dropped_before=0, first_id=n + 1, next_id=n + 2, before=at.before, newest=time_, arrived=time_, history=history, days=[f"{time_:%Y-%m-%d}"])
+        put(path / "_log" / run.place, log_schema, [row])
+        plain = time_.replace(tzinfo=None)
+        at = Position(n + 1, n + 2, None, plain, thinned(at.history, plain, plain))
+    stored = ingest.read_store(spark, str(path))
+    assert stored.agg(F.count("id"), F.countDistinct("id"), F.max("id")).first() == (300, 300, 300)
+    assert ingest.stream_totals(ingest.stream_stats(spark, str(path))).first().accepted_total == 300
+    # Two rounds of runs per level, three levels, each with a folder of its own.
+    assert most <= 3 * (2 * 11 + 3)
+    assert folders(path / "telemetry") <= 2 * (1 + 3 + 3 * 22)
+
+
+def test_many_batches_of_a_writer(spark, tmp_path):
+    """Late, repeated and new records in batches that are merged again and again: ids have no gaps, counts are whole."""
+    store, partitions = tmp_path / "store", spark.conf.get("spark.sql.shuffle.partitions")
+    writer = ingest.store_batch(str(store), merge_every=4)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for n in range(22):
+            minutes = [n, n + 1, 5]
+            rows = [("A", f"2024-01-0{1 + n % 3}T00:{m:02d}:00", float(n)) for m in minutes]
+            batch = spark.createDataFrame(rows, "satellite_id string, timestamp string, battery_pct double").coalesce(1)
+            writer(batch, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    want = {(1 + n % 3, m) for n in range(22) for m in (n, n + 1, 5)}
+    stored = ingest.read_store(spark, str(store)).collect()
+    assert sorted((r.timestamp.day, r.timestamp.minute) for r in stored) == sorted(want)
+    assert sorted(r.id for r in stored) == list(range(1, len(want) + 1))
+    assert {r.level for r in Store(spark, str(store)).live()} == {0, 1, 2}
+    totals = ingest.stream_totals(ingest.stream_stats(spark, str(store))).first()
+    assert (totals.received_total, totals.accepted_total, totals.repeated_total) == (66, len(want), 66 - len(want))
+    assert not list((store / "_coming").iterdir())
+
+
+def test_a_merge_that_was_cut_off_is_made_again(spark, tmp_path):
+    store = str(tmp_path / "store")
+    writer = ingest.store_batch(store, merge_every=3)
+    record = lambda n: spark.createDataFrame([("A", f"2024-01-01T00:{n:02d}:00")], "satellite_id string, timestamp string")
+    for n in range(5):
+        writer(record(n), n)
+    assert {r.level for r in Store(spark, store).live()} == {0, 1}
+    before = sorted((r.id, r.timestamp) for r in ingest.read_store(spark, store).collect())
+    # As if the merged rows were there, but not yet their rows of the log.
+    merged = next(r for r in Store(spark, store).runs if r.level == 1)
+    tables.remove_path(spark, f"{store}/_log/{merged.place}")
+    assert sorted((r.id, r.timestamp) for r in ingest.read_store(spark, store).collect()) == before
+    for n in range(5, 12):
+        writer(record(n), n)
+    stored = ingest.read_store(spark, store).collect()
+    assert sorted(r.id for r in stored) == list(range(1, 13)) and len({r.timestamp for r in stored}) == 12
+
+
+def test_newest_values_are_upserted(spark, tmp_path):
+    """Each batch writes what changed; merging keeps the newest of each; equal times are decided by the other values."""
+    inbox, path = tmp_path / "in", tmp_path / "latest"
+    at = lambda sat, minute, battery: {"satellite_id": sat, "timestamp": f"2024-01-01T00:{minute:02d}:00", "battery_pct": battery}
+    for n in range(8):
+        write(inbox, f"{n}.json", [at("A", n, float(n)), at("A", n, n + 0.5), at("B", 30 - n, float(n)), *([at("C", 1, 1.0)] if n == 2 else [])])
+        time.sleep(0.01)
+    records = ingest.accepted_records(ingest.stream_ingest(ingest.stream_source_json(spark, str(inbox), files_per_batch=1)))
+    newest = live.stream_latest(records.select("satellite_id", "timestamp", "battery_pct"))
+    sizes = []
+    upsert = live.upsert_batch(str(path), merge_every=3)
+
+    def writer(batch, n):
+        upsert(batch, n)
+        sizes.append(pq.read_table(path / f"versions={n}-{n}").num_rows)
+
+    ingest.stream_flush(newest, writer, str(tmp_path / "checkpoint"), available_now=True, mode="update").awaitTermination()
+    got = live.read_latest(spark, str(path), newest)
+    assert sorted((r.satellite_id, r.timestamp.minute, r.battery_pct) for r in got.collect()) == [("A", 7, 7.5), ("B", 30, 0.0), ("C", 1, 1.0)]
+    assert max(sizes) <= 3 and len(list(path.glob("versions=*"))) <= 8
+    assert live.read_latest(spark, str(tmp_path / "none"), newest).count() == 0
+
+
+def test_user_sql_leaves_the_session_as_it_was(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    before = sorted(t.name for t in spark.catalog.listTables())
+    out = tables.sql_query(spark, "SELECT count(*) AS n FROM mine JOIN other ON mine.id = other.id WHERE other.id < :top", {"mine": spark.range(10), "other": spark.range(20)}, {"top": 7})
+    with pytest.raises(Exception, match="nowhere"):
+        tables.sql_query(spark, "SELECT * FROM nowhere", {"mine": spark.range(1), "third": spark.range(1)})
+    assert sorted(t.name for t in spark.catalog.listTables()) == before and spark.table("mine").count() == 3
+    assert out.first().n == 7
+    spark.catalog.dropTempView("mine")
