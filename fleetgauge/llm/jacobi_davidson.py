@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Vectors beside the wanted ones, steps of MINRES at a time, vectors of the subspace, turns before giving up.
-GUARDS, STEPS, WIDTH, TURNS = 4, 10, 28, 200
+GUARDS, STEPS, WIDTH, TURNS = 12, 3, 60, 200
 #: Turns after the last pair was found, in which a greater one would show.
 HUNT = 2
 

@@ -2,7 +2,7 @@
 
 Vectors become whole numbers, and each different one counts once. The covariance matrix is never made: a
 solver asks for its products with narrow blocks, and each product is one pass of Spark over the vectors,
-centred before they are multiplied. Sums leave the tasks as one row per entry of the block.
+centred before they are multiplied. A task's sums leave it as one row, and a few tasks add those up.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ STEPS_PER_UNIT, COMPONENTS = 256, 4
 #: Numbers that fit in two bytes are kept in two.
 NARROW, WIDE = "<i2", "<i8"
 LONG = 1 << 63
+#: Tasks that add up what the others have summed.
+ADDERS = 8
 
 
 @dataclass(frozen=True)
@@ -117,17 +119,26 @@ def whole_numbers(rows: DataFrame) -> DataFrame:
 
 def _sums(fit: DataFrame, dims: int) -> list[int]:
     """The exact sum of each entry over all vectors."""
+    def out(total):
+        yield pa.RecordBatch.from_arrays([pa.array([[Decimal(int(t)) for t in total]], pa.list_(pa.decimal128(38, 0)))], ["total"])
+
     def run(batches):
         total = np.zeros(dims, object)
         for batch in batches:
             for _, x in _matrices(batch, dims):
                 total += x.astype(np.int64).sum(axis=0).astype(object) if x.dtype.str == NARROW else x.astype(object).sum(axis=0)
-        totals = [Decimal(int(t)) for t in total]
-        yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array(totals, pa.decimal128(38, 0))], ["at", "total"])
+        yield from out(total)
+
+    def add(batches):
+        total = np.zeros(dims, object)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                total += np.array([int(t) for t in part], object)
+        yield from out(total)
 
-    parts = fit.select("wide", "x").mapInArrow(run, "at int, total decimal(38,0)")
-    rows = parts.groupBy("at").agg(F.sum("total").cast("decimal(38,0)").alias("total")).collect()
-    return [int(r["total"]) for r in sorted(rows, key=lambda r: r["at"])]
+    parts = fit.select("wide", "x").mapInArrow(run, "total array<decimal(38,0)>")
+    rows = parts.repartition(ADDERS).mapInArrow(add, "total array<decimal(38,0)>").collect()
+    return [sum(int(r["total"][i]) for r in rows) for i in range(dims)]
 
 
 def _added(fit: DataFrame, dims: int, centre: Centre, of, length: int) -> np.ndarray:
@@ -137,12 +148,19 @@ def _added(fit: DataFrame, dims: int, centre: Centre, of, length: int) -> np.nda
         for batch in batches:
             for _, x in _matrices(batch, dims):
                 total += of(centre.centred(x))
-        yield pa.RecordBatch.from_arrays([pa.array(range(length), pa.int32()), pa.array(total)], ["at", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    out = np.zeros(length)
-    for row in fit.select("wide", "x").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-        out[row["at"]] = row["value"]
-    return out
+    def add(batches):
+        total = np.zeros(length)
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    parts = fit.select("wide", "x").mapInArrow(run, "total binary")
+    # ADDERS rows, however many tasks there were.
+    rows = parts.repartition(ADDERS).mapInArrow(add, "total binary").collect()
+    return sum((np.frombuffer(r["total"]) for r in rows), np.zeros(length))
 
 
 def fit_list(rows: DataFrame) -> tuple[DataFrame, int, int]:
