@@ -16,7 +16,7 @@ def brute(urls, rules, default="allow"):
         path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
         fits = [
             (-len(h) - len(p), -len(h), v, h + p) for h, p, v in rules
-            if host and (host == h or host.endswith("." + h)) and path.startswith(p)
+            if host and (h == "" or host == h or host.endswith("." + h)) and path.startswith(p)
         ]
         best = min(fits, default=(0, 0, default, None))
         out.append({"page_id": page_id, "host": host, "path": path, "rule": best[3], "verdict": best[2]})
@@ -55,3 +55,28 @@ def test_many_urls_of_one_host(spark):
 def test_no_rules_and_no_pages(spark):
     check(spark, [(1, "http://a.net/")], [])
     check(spark, [], [("net", "/", "block")])
+
+
+def test_rules_for_all_hosts(spark):
+    """A rule with an empty host stays open whatever begins and ends after it."""
+    urls = [(i, f"http://{h}/{p}") for i, (h, p) in enumerate((h, p) for h in ("a.com", "b.org", "c.net", "x.b.org", "z.net") for p in ("", "zzz", "zz"))] + [(99, "no host")]
+    check(spark, urls, [("", "/", "block"), ("b.org", "/zzz", "allow")])
+    draw = random.Random(8)
+    hosts = ["", "net", "a.net", "b.a.net", "org"]
+    rules = list({(h, p): (h, p, draw.choice(["allow", "block"])) for h in hosts for p in draw.sample(["", "/", "/a", "/a/b", "/b", "/ab"], 3)}.values())
+    check(spark, [(i, f"http://{draw.choice(['x', 'b.a.net', 'a.net', 'c.org', 'net'])}{draw.choice(['', '/', '/a', '/a/b/c', '/abc', '/b'])}") for i in range(200)], rules)
+
+
+def test_many_paths_of_one_host(spark):
+    """Five thousand path rules on one host, many within each other."""
+    draw = random.Random(9)
+    paths = sorted({"/" + "/".join(draw.choice("abcdef") for _ in range(draw.randint(1, 8))) for _ in range(9000)})[:5000]
+    rules = [("big.example.net", p, draw.choice(["allow", "block"])) for p in paths] + [("net", "/a", "block")]
+    urls = [(i, f"http://{draw.choice(['', 'www.'])}big.example.net{draw.choice(paths)}{draw.choice(['', '/zz', '/a'])}") for i in range(150)]
+    check(spark, urls, rules)
+
+
+def test_wide_characters(spark):
+    """Characters of any size sort within the intervals of their prefixes."""
+    top = "\U0010ffff"
+    check(spark, [(i, f"http://h/{p}") for i, p in enumerate(["a", "a" + top, "a" + top * 3, "b", top])], [("h", "/a", "block"), ("h", "/a" + top, "allow"), ("h", "/" + top, "block")])
