@@ -81,7 +81,7 @@ def _(t: Tables):
     """Each satellite has 100 trees over 256 of its readings, or all, with one leaf more than inner nodes."""
     prepared, features = _prepared(t)
     trees = forest.isolation_forest_fit(prepared, features)
-    leaves = F.size(F.filter("feature", lambda f: f < 0))
+    leaves = F.size(F.filter("threshold", lambda t: t == float("inf")))
     return trees.select("satellite_id", "tree", "sample_size", (F.size("feature") == 2 * leaves - 1).alias("binary_tree"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.scalars import ecef, gauge_band, gauge_delta, progress_color
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, ordering, present, scoped, spread_of
-from fleetgauge.operators.quantiles import quantiles, value_counts
+from fleetgauge.operators.quantiles import metric_quantiles
 from fleetgauge.operators.select import current_position, melt_metrics
 
 
@@ -46,17 +46,17 @@ def box_stats(
     df, keys = scoped(df, keys)
     split = spread_of(df, keys, split)
     by = [*keys, "metric"]
-    counts = value_counts(melt_metrics(df, metrics, keys), by, "value")
-    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    boxes = quantiles(counts, by, "value", quarters, copies="copies", split=split)
+    values = melt_metrics(df, metrics, keys).where("value IS NOT NULL")
+    boxes = metric_quantiles(df, metrics, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, split=split)
+    quarters = ["q1", "median", "q3"]
     reach = (F.col("q3") - F.col("q1")) * 1.5
     boxes = boxes.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    return join_groups(counts, boxes, by, few=split.few).groupBy(*by, *quarters).agg(
+    return join_groups(values, boxes, by, few=split.few).groupBy(*by, *quarters).agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_fence"),
         F.max(F.when(inside, F.col("value"))).alias("upper_fence"),
-        F.sum(F.when(inside, 0).otherwise(F.col("copies"))).alias("outliers"),
-        (F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("mean"),
+        F.count_if(~inside).alias("outliers"),
+        F.avg("value").alias("mean"),
     )
 
 

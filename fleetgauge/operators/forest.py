@@ -1,12 +1,14 @@
-"""Isolation forest: trees grown on small samples, rows scored where they lie.
+"""Isolation forest: trees grown on small samples, rows scored where Spark has put them.
 
-Rows reach a tree by a hash of (seed, tree, id), so the forest does not depend on how the data is
-partitioned, and only about one and a half samples of rows per tree are shuffled. Growing and walking
-trees is numpy on Arrow batches; sampling, grouping, thresholds and joins are Spark's.
+Rows reach the trees by hashes of (seed, turn, id), so the forest does not depend on how the data is
+partitioned, and only about one and a half samples of rows per tree are shuffled. A row of a large group is
+hashed once, whatever the number of trees. Growing and walking trees is numpy on Arrow batches; sampling,
+grouping, thresholds and joins are Spark's.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ from fleetgauge import constants as C
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, present, scoped, spread_of
 from fleetgauge.operators.quantiles import quantiles
 from fleetgauge.operators.statistics import impute_median, standardize
-from fleetgauge.session import pin
+from fleetgauge.session import written
 
 SCORE_ROWS = 200_000
 # Drawn rows per tree over the sample size: 256 of about 384, so a short sample is next to impossible.
@@ -54,31 +56,34 @@ def _path_length(size: np.ndarray) -> np.ndarray:
 
 
 def _grow(points: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
-    """One tree as parallel lists, one entry per node; feature -1 marks a leaf."""
-    tree = {"feature": [], "threshold": [], "left": [], "right": [], "depth": []}
+    """One tree as parallel lists, one entry per node: where the value of `feature` is at most `threshold` a row
+    goes to node `left`, else to the one behind it. A leaf leads to itself whatever the value.
+    """
+    tree = {"feature": [0], "threshold": [math.inf], "left": [0], "depth": [0.0]}
     draws = iter(rng.random(4 * len(points) + 4).tolist())
-    sizes = []
-    todo = [(points, 0, None, None)]
+    sizes, depths = [len(points)], [0]
+    todo = [(points, 0, 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        node = len(sizes)
-        if parent is not None:
-            tree[side][parent] = node
-        feature, threshold = -1, 0.0
-        if depth < height and len(rows) > 1:
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            varying = np.flatnonzero(high > low)
-            if len(varying):
-                feature = int(varying[int(next(draws) * len(varying))])
-                threshold = float(low[feature] + next(draws) * (high[feature] - low[feature]))
-        sizes.append(len(rows) if feature < 0 else 1)
-        for name, value in zip(tree, (feature, threshold, -1, -1, depth if feature < 0 else 0)):
-            tree[name].append(value)
-        if feature >= 0:
-            goes_left = rows[:, feature] <= threshold
-            todo.append((rows[~goes_left], depth + 1, node, "right"))
-            todo.append((rows[goes_left], depth + 1, node, "left"))
-    tree["depth"] = (np.array(tree["depth"], dtype=float) + _path_length(np.array(sizes))).tolist()
+        rows, depth, node = todo.pop()
+        if depth == height or len(rows) < 2:
+            continue
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        varying = np.flatnonzero(high > low)
+        if not len(varying):
+            continue
+        feature = int(varying[int(next(draws) * len(varying))])
+        threshold = float(low[feature] + next(draws) * (high[feature] - low[feature]))
+        goes_left = rows[:, feature] <= threshold
+        left = len(sizes)
+        tree["feature"][node], tree["threshold"][node], tree["left"][node] = feature, threshold, left
+        for side, part in enumerate((rows[goes_left], rows[~goes_left])):
+            for name, value in zip(tree, (0, math.inf, left + side, 0.0)):
+                tree[name].append(value)
+            sizes.append(len(part))
+            depths.append(depth + 1)
+        todo += [(rows[~goes_left], depth + 1, left + 1), (rows[goes_left], depth + 1, left)]
+    leaf = np.array(tree["left"]) == np.arange(len(sizes))
+    tree["depth"] = np.where(leaf, np.array(depths, dtype=float) + _path_length(np.array(sizes)), 0.0).tolist()
     return tree
 
 
@@ -91,28 +96,28 @@ def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-_TREE_FIELDS = (
-    "sample_size int, feature array<int>, threshold array<double>, left array<int>, "
-    "right array<int>, depth array<double>"
-)
+_TREE_FIELDS = "sample_size int, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
 
 
 def isolation_forest_fit(
     prepared: DataFrame, features: Sequence[str], *, keys: Sequence[str] = KEYS,
     id_column: str = "id", settings: ForestSettings = ForestSettings(), few: bool = False,
 ) -> DataFrame:
-    """One row per group and tree, the nodes as arrays."""
+    """One row per group and tree, the nodes as arrays. Work per row does not grow with the number of trees."""
     sizes = prepared.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    chance = F.least(F.lit(1.0), F.lit(float(_OVERSAMPLE * settings.sample)) / F.col("_rows"))
     counted = join_groups(prepared.select(*keys, id_column, *features), sizes, keys, few=few)
-    limit = (chance * _HASH_STEPS).cast("long")
-    all_trees = F.sequence(F.lit(0), F.lit(settings.trees - 1))
-
-    def draw(tree):
-        return F.xxhash64(F.lit(settings.seed), tree, F.col(id_column))
-
-    chosen = F.filter(all_trees, lambda t: F.pmod(draw(t), F.lit(_HASH_STEPS)) < limit)
-    drawn = counted.withColumn("tree", F.explode(chosen)).withColumn("_draw", draw(F.col("tree")))
+    # A row draws one tree from each of `turns` blocks of trees: all trees in a small group, one in a large one.
+    wanted = float(_OVERSAMPLE * settings.sample)
+    turns = F.least(F.lit(settings.trees), F.ceil(F.lit(wanted * settings.trees) / F.col("_rows"))).cast("int")
+    counted = counted.withColumn("_turns", turns).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
+    drawn = counted.withColumn("_hash", F.xxhash64(F.lit(settings.seed), "_turn", id_column))
+    first = F.floor(F.col("_turn") * settings.trees / F.col("_turns")).cast("int")
+    behind = F.floor((F.col("_turn") + 1) * settings.trees / F.col("_turns")).cast("int")
+    block = behind - first
+    # The low bits choose the tree, the high ones whether the row is in its sample.
+    limit = F.least(F.lit(1.0), F.lit(wanted) * block / F.col("_rows")) * _HASH_STEPS
+    drawn = drawn.withColumn("_draw", F.shiftrightunsigned("_hash", 34)).where(F.col("_draw") < limit)
+    drawn = drawn.withColumn("tree", (first + F.pmod(F.col("_hash").bitwiseAND((1 << 34) - 1), block)).cast("int"))
     names, sample, seed = list(features), settings.sample, settings.seed
     key_list = list(keys)
 
@@ -132,24 +137,17 @@ def isolation_forest_fit(
     )
 
 
-def _mean_depths(points: np.ndarray, trees: Iterator) -> tuple[np.ndarray, int]:
-    """Mean depth of each point over the trees, all points of a batch walked together."""
-    total, count = np.zeros(len(points)), 0
-    rows = np.arange(len(points))
+def _mean_depths(points: np.ndarray, trees: Iterator) -> np.ndarray:
+    """Mean depth of each point over the trees, all points of a batch walked together; leaves lead to themselves."""
+    total, count, rows = np.zeros(len(points)), 0, np.arange(len(points))
     for tree in trees:
-        feature, threshold = np.asarray(tree.feature), np.asarray(tree.threshold)
-        children = np.stack([np.asarray(tree.right), np.asarray(tree.left)])
+        feature, threshold, left = (np.asarray(x) for x in (tree.feature, tree.threshold, tree.left))
         node = np.zeros(len(points), dtype=np.int64)
-        walking = rows
-        while len(walking):
-            at = node[walking]
-            walking = walking[feature[at] >= 0]
-            at = node[walking]
-            goes_left = points[walking, feature[at]] <= threshold[at]
-            node[walking] = children[goes_left.astype(int), at]
+        for _ in range(int(np.ceil(np.log2(max(tree.sample_size, 2))))):
+            node = left[node] + (points[rows, feature[node]] > threshold[node])
         total += np.asarray(tree.depth)[node]
         count += 1
-    return total / max(count, 1), count
+    return total / max(count, 1)
 
 
 def isolation_forest_raw_scores(
@@ -175,7 +173,7 @@ def isolation_forest_raw_scores(
         if len(trees) == 0:
             result["raw_score"] = -0.5
             return result
-        depth, _ = _mean_depths(points[names].to_numpy(float), trees.sort_values("tree").itertuples())
+        depth = _mean_depths(points[names].to_numpy(float), trees.sort_values("tree").itertuples())
         usual = max(float(_path_length(np.array([trees["sample_size"].iloc[0]]))[0]), 1e-12)
         result["raw_score"] = -np.power(2.0, -depth / usual)
         return result
@@ -203,13 +201,13 @@ def isolation_forest_score(
     rows, keys = scoped(df, KEYS if scope == "satellite" else ())
     split = spread_of(rows, keys, split)
     # Written with a number of its own for each row: ids may repeat.
-    rows = pin(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
     narrow = rows.select(*keys, id_column, "_row", *[F.col(f).cast("double").alias(f) for f in features])
     # Written once, as growing and scoring read it five times, and preparing it needs the medians.
-    prepared = pin(prepare(narrow, features, keys=keys, split=split))
+    prepared = written(prepare(narrow, features, keys=keys, split=split))
     forest = isolation_forest_fit(prepared, features, settings=settings, keys=keys, id_column=id_column, few=split.few)
     # Written once: the threshold and the result both read the scores, and scoring is the dear part.
-    raw = pin(isolation_forest_raw_scores(prepared, forest, features, keys=keys, id_column="_row", few=split.few))
+    raw = written(isolation_forest_raw_scores(prepared, forest, features, keys=keys, id_column="_row", few=split.few))
     offset = quantiles(raw, keys, "raw_score", {"_offset": settings.contamination}, split=split)
     scored = join_groups(raw, offset, keys, few=split.few)
     scored = scored.select(

@@ -38,17 +38,19 @@ class Spread:
 
     `split`: some group is too large for one task, so groups are cut into slices.
     `few`: there are few enough groups to broadcast one row for each.
+    `largest`: rows of the largest group, if they were counted.
     """
 
     split: bool
     few: bool = False
+    largest: int = 0
 
 
 def measure(df: DataFrame, keys: Sequence[str]) -> Spread:
     """Counts the rows per group (reading the key columns only) to choose a plan."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     largest, groups = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    return Spread((largest or 0) > GROUP_ROW_LIMIT, groups <= FEW_GROUPS)
+    return Spread((largest or 0) > GROUP_ROW_LIMIT, groups <= FEW_GROUPS, largest or 0)
 
 
 def spread_of(df: DataFrame, keys: Sequence[str], split: Spread | bool | None) -> Spread:

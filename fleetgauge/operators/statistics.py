@@ -11,7 +11,7 @@ from fleetgauge import constants as C
 from fleetgauge.functions.scalars import classify_distribution, unit_of
 from fleetgauge.functions.tests_of_fit import with_normality_p
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, present, scoped, spread_of
-from fleetgauge.operators.quantiles import modes, quantiles
+from fleetgauge.operators.quantiles import metric_quantiles, modes
 from fleetgauge.operators.select import melt_metrics
 
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -36,7 +36,7 @@ def column_statistics(
     values = melt_metrics(df, metrics, keys)
     by = [*keys, "metric"]
     result = values.groupBy(*by).agg(*_moments()).where(F.col("count") > 0)
-    result = join_groups(result, quantiles(values, by, "value", PERCENTILES, split=split), by)
+    result = join_groups(result, metric_quantiles(df, metrics, keys, PERCENTILES, split=split), by)
     result = join_groups(result, modes(values, by, "value"), by)
     return result.select(
         *by, "mean", F.col("p50").alias("median"), "mode", "min", "max",
@@ -81,7 +81,7 @@ def describe_columns(
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
     quartiles = {name: PERCENTILES[name] for name in ("p25", "p50", "p75")}
-    return join_groups(sums, quantiles(values, by, "value", quartiles, split=split), by)
+    return join_groups(sums, metric_quantiles(df, metrics, keys, quartiles, split=split), by)
 
 
 def distribution_analysis(
@@ -116,9 +116,7 @@ def group_medians(
     df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str], split: Spread | bool | None = None
 ) -> DataFrame:
     """One row per group with `_median_<metric>`."""
-    values = melt_metrics(df, metrics, keys)
-    split = spread_of(df, keys, split)
-    found = quantiles(values, [*keys, "metric"], "value", {"median": 0.5}, split=split)
+    found = metric_quantiles(df, metrics, keys, {"median": 0.5}, split=split)
     by_metric = [
         F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"_median_{m}") for m in metrics
     ]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fleetgauge import constants as C
 from fleetgauge.operators.grouping import KEYS, Spread, join_groups, ordering, present, scoped, spread_of
 from fleetgauge.operators.ordering import over_readings
-from fleetgauge.operators.quantiles import quantiles
+from fleetgauge.operators.quantiles import quantiles_of_counts
 from fleetgauge.operators.select import parsed_timestamp
 
 Ranges = Mapping[str, tuple[float, float]]
@@ -129,7 +129,7 @@ def timestamp_issues(df: DataFrame, *, keys: Sequence[str] = KEYS, split: Spread
     known = times.drop("_unread").where(F.col("timestamp").isNotNull())
     gaps = over_readings(known, gap, before=1, keys=keys, order=order, split=split)
     gaps = gaps.where(F.col("gap").isNotNull()).groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("copies"))
-    median = quantiles(gaps, keys, "gap", {"median_gap": 0.5}, copies="copies", split=split)
+    median = quantiles_of_counts(gaps, keys, "gap", {"median_gap": 0.5}, copies="copies", split=split)
     wide = join_groups(gaps, median, keys, few=split.few).groupBy(*keys).agg(
         F.first("median_gap").alias("median_gap_seconds"),
         F.sum(F.when(F.col("gap") > F.col("median_gap") * 5, F.col("copies")).otherwise(0)).alias("large_gaps"),

@@ -61,3 +61,29 @@ def pin(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes the rows as a table in the shared folder, so that each reader reads only the columns it needs.
+
+    The table goes when the program ends, if it still can; else with the folder.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:
+            # The session has ended before.
+            return
