@@ -33,15 +33,27 @@ def _unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     return ((words[word] >> shift) | high) & np.uint64((1 << width) - 1)
 
 
+def _place_table() -> np.ndarray:
+    """The place of set bit number r of byte b, at r * 256 + b."""
+    places = np.zeros((8, 256), np.uint8)
+    for byte in range(256):
+        for rank, place in enumerate(i for i in range(8) if byte >> i & 1):
+            places[rank, byte] = place
+    return places.ravel()
+
+
+PLACES = _place_table()
+EVERY_BYTE = np.uint64(0x0101010101010101)
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The place of the set bit number `rank` (from 0) of each word."""
-    place, rank = np.zeros(len(words), np.uint64), rank.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count((words >> place) & np.uint64((1 << half) - 1)).astype(np.int64)
-        beyond = rank >= below
-        rank = rank - np.where(beyond, below, 0)
-        place = place + np.where(beyond, np.uint64(half), np.uint64(0))
-    return place.astype(np.int64)
+    counts = np.bitwise_count(words.view(np.uint8)).view(np.uint64)
+    upto = (counts * EVERY_BYTE).view(np.uint8).reshape(-1, 8)
+    byte = (upto <= rank[:, None]).sum(1)
+    each = np.arange(len(words))
+    before = np.where(byte > 0, upto[each, byte - 1], 0)
+    return byte * 8 + PLACES[(rank - before) * 256 + words.view(np.uint8).reshape(-1, 8)[each, byte]]
 
 
 class EliasFano:
@@ -86,6 +98,12 @@ class EliasFano:
             far = far[skip[far] >= count[far]]
         return word * 64 + _select_in_word(left, skip)
 
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 unary bits from place `at` on; behind the last word, anything."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        later = self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63))
+        return (self.high[word] >> shift) | np.where(shift > 0, later, np.uint64(0))
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at places `at`."""
         if not len(at):
@@ -93,6 +111,19 @@ class EliasFano:
         top = self._select(at, True) - at
         return (top.astype(np.uint64) << np.uint64(self.width)) | _unpack(self.low, self.width, at)
 
+    def access_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places `at`, and those behind them."""
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        here = self._select(at, True)
+        ahead = self._window(here + 1)
+        there = here + 1 + np.bitwise_count((ahead & (~ahead + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        # The next one may lie further off than the window shows.
+        far = np.flatnonzero(ahead == 0)
+        there[far] = self._select(at[far] + 1, True)
+        tops = ((there_ - at_).astype(np.uint64) << np.uint64(self.width) for there_, at_ in ((here, at), (there, at + 1)))
+        return tuple(top | _unpack(self.low, self.width, at_) for top, at_ in zip(tops, (at, at + 1)))
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: the successor within its bucket, if it is the value."""
         values = values.astype(np.uint64)
@@ -100,10 +131,14 @@ class EliasFano:
         if not self.n or not len(values):
             return out
         top = (values >> np.uint64(self.width)).astype(np.int64)
-        end = self._select(top, False) - top
-        begin = np.zeros(len(values), np.int64)
-        inner = top > 0
-        begin[inner] = self._select(top[inner] - 1, False) - (top[inner] - 1)
+        here, inner = np.zeros(len(values), np.int64), top > 0
+        here[inner] = self._select(top[inner] - 1, False) + 1
+        begin = here - top
+        # The bucket's values are the ones from here to the next zero.
+        ahead = self._window(here)
+        end = begin + np.bitwise_count(ahead & ~(ahead + np.uint64(1)))
+        far = np.flatnonzero(~ahead == 0)
+        end[far] = self._select(top[far], False) - top[far]
         low = values & np.uint64((1 << self.width) - 1)
         open_ = np.flatnonzero(begin < end)
         while len(open_):

@@ -1,6 +1,6 @@
 """Texts scored by a bigram model that lies in an Elias-Fano trie.
 
-Words are counted over all training texts, then pairs of neighbours whose words are frequent enough.
+Words are counted over all training texts, then pairs of neighbours.
 The trie has two levels, in shards that single tasks write to the shared folder and every scorer maps:
 words as an Elias-Fano sequence of their hashes, with counts, quantised back-off weights and monotone
 pointers; and their successors as an Elias-Fano sequence, with quantised probabilities. Words are
@@ -16,88 +16,64 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import crc_of_id, partitions, pinned, shared_folder
 from fleetgauge.llm.elias_fano import EliasFano
-from fleetgauge.llm.storage import create, mapped, new_name
+from fleetgauge.llm.storage import arrays, create, new_name
 
-#: Least count of a pair in the model, and what is taken off each count for pairs unseen.
-LEAST, DISCOUNT = 2, 0.6
-#: Bits of a stored probability; tokens that are looked up, or counted, together; bytes of text split at a time;
-#: distinct words that a task remembers.
-BITS, TOGETHER, COUNTED, STRETCH, REMEMBERED = 16, 1 << 18, 1 << 21, 1 << 20, 1 << 18
+#: Least count of a pair in the model (1: all pairs), and what is taken off each count for pairs unseen.
+LEAST, DISCOUNT = 1, 0.6
+#: Bits of a stored probability; tokens whose pairs are looked up together; counts that are summed up before they are
+#: handed on; bytes of text split at a time; distinct words that are hashed and looked up at a time.
+BITS, TOGETHER, COUNTED, STRETCH, REMEMBERED = 16, 1 << 19, 1 << 21, 1 << 21, 1 << 18
 #: Marks that no word can be: they hold white space.
 START, END = b"\t", b"\n"
 KEY_BITS = 63
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh = []
-
-    def __missing__(self, word):
-        self.fresh.append(word)
-        number = self[word] = len(self)
-        return number
-
-
 def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), np.int64, len(words))
-
-
-class Words:
-    """The distinct words met lately, each hashed, and looked up, once."""
-
-    def __init__(self, look_up=None):
-        self.numbers, self.look_up = _Numbers(), look_up
-        self.keys = self.ids = self.counts = np.empty(0, np.int64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word; `keys`, `ids` and `counts` are by number."""
-        if len(self.numbers) > REMEMBERED:
-            self.__init__(self.look_up)
-        which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        fresh = word_keys(self.numbers.fresh)
-        if len(fresh):
-            self.keys = np.concatenate((self.keys, fresh))
-            if self.look_up:
-                ids, counts = self.look_up(fresh)
-                self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-            self.numbers.fresh.clear()
-        return which
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).astype(np.int64)
 
 
 START_KEY, END_KEY = (xxhash.xxh64_intdigest(mark) >> 1 for mark in (START, END))
 
 
-def token_chunks(texts, size: int):
-    """Words of whole texts in order, END after each text, in chunks of about `size`, each with the texts' numbers."""
-    words, numbers, lengths = [], [], []
-    for number, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass").lower()
-        begin = 0
-        while True:
-            cut = SPACE.search(raw, begin + STRETCH) if len(raw) - begin > STRETCH else None
-            own = raw[begin : cut.start() if cut else len(raw)].split()
-            if not cut:
-                own.append(END)
-            words += own
-            numbers.append(number)
-            lengths.append(len(own))
-            if len(words) >= size:
-                yield words, np.repeat(numbers, lengths)
-                words, numbers, lengths = [], [], []
-            if not cut:
-                break
-            begin = cut.end()
-    if words:
-        yield words, np.repeat(numbers, lengths)
+def _stretches(texts: pa.Array):
+    """Texts of about STRETCH bytes together, or a part of one longer text; the first one's number, whether the last one ends."""
+    upto, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while begin < len(texts):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + STRETCH, "right"))
+        if end > begin:
+            yield texts.slice(begin, end - begin), begin, True
+        else:
+            raw, at, end = texts[begin].as_py().encode("utf-8"), 0, begin + 1
+            while cut := SPACE.search(raw, at + STRETCH):
+                yield pa.array([raw[at : cut.start()].decode("utf-8")]), begin, False
+                at = cut.end()
+            yield pa.array([raw[at:].decode("utf-8")]), begin, True
+        begin = end
+
+
+def token_chunks(texts: pa.Array):
+    """Words of whole texts in order, END after each text, in chunks: the distinct words with END last, each
+    token's place among them, and its text's number."""
+    for some, first, ended in _stretches(pc.fill_null(texts, "")):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(some))
+        coded, numbers = lists.flatten().dictionary_encode(), np.repeat(np.arange(len(some)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        distinct, line = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        if b"" in distinct:
+            words = line != distinct.index(b"")
+            line, numbers = line[words], numbers[words]
+        if ended:
+            ends = np.searchsorted(numbers, np.arange(len(some)), "right")
+            line, numbers = np.insert(line, ends, len(distinct)), np.insert(numbers, ends, np.arange(len(some)))
+        distinct.append(END)
+        for at in range(0, len(line), TOGETHER):
+            yield distinct, line[at : at + TOGETHER], first + numbers[at : at + TOGETHER]
 
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -122,12 +98,12 @@ class Tally:
 
 
 def _count_words(batches):
-    tally, known = Tally(), Words()
+    tally = Tally()
     for batch in batches:
-        for words, _ in token_chunks((t.as_py() for t in batch.column(0)), TOGETHER):
-            times = np.bincount(known(words))
+        for distinct, line, _ in token_chunks(batch.column(0)):
+            times = np.bincount(line, minlength=len(distinct))
             met = np.flatnonzero(times)
-            tally.add(np.append(known.keys[met], START_KEY), np.append(times[met], words.count(END)))
+            tally.add(np.append(word_keys(distinct)[met], START_KEY), np.append(times[met], times[-1]))
             if tally.n >= COUNTED:
                 yield from tally.out()
     yield from tally.out()
@@ -148,11 +124,7 @@ def store(folder: str, stem: str, parts: dict[str, np.ndarray]) -> str:
 
 def load(stored: str) -> dict[str, np.ndarray]:
     spec = json.loads(stored)
-    raw = mapped(spec["uri"]) if any(n for _, _, n in spec["layout"].values()) else np.empty(0, np.uint8)
-    return {
-        name: np.asarray(raw[at : at + n * np.dtype(kind).itemsize]).view(kind) if n else np.empty(0, kind)
-        for name, (kind, at, n) in spec["layout"].items()
-    }
+    return arrays(spec["uri"], spec["layout"])
 
 
 def sequence(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
@@ -188,14 +160,21 @@ class Model:
     words: dict[int, str]
     pointers: dict[int, tuple[int, str]]  # first place of the shard's successors, file
     weights: dict[int, str]
-    successors: list[tuple[int, str]]  # first key, file
+    successors: list[tuple[int, int, str]]  # first place, its word, file
+
+
+def grouped(numbers: np.ndarray):
+    """Each number with the places where it stands."""
+    order = np.argsort(numbers, kind="stable")
+    each, starts = np.unique(numbers[order], return_index=True)
+    return zip(each.tolist(), np.split(order, starts[1:]))
 
 
 class Trie:
     def __init__(self, spec: dict):
         self.m = Model(**spec)
         self.files: dict[str, tuple[dict, EliasFano | None]] = {}
-        self.first_keys = np.array([s[0] for s in self.m.successors], np.int64)
+        self.first_places, self.first_words = (np.array([s[k] for s in self.m.successors], np.int64) for k in (0, 1))
         self.ids = self.m.room << self.m.shard_bits
 
     def file(self, stored: str, name: str | None):
@@ -208,10 +187,8 @@ class Trie:
         """Ids (-1: unknown) and training counts of word keys."""
         ids, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         below = KEY_BITS - self.m.shard_bits
-        shards = keys >> below
-        for shard in np.unique(shards).tolist():
+        for shard, own in grouped(keys >> below):
             if shard in self.m.words:
-                own = np.flatnonzero(shards == shard)
                 parts, hashes = self.file(self.m.words[shard], "hash")
                 at = hashes.find(keys[own] & ((1 << below) - 1))
                 known = at >= 0
@@ -220,10 +197,8 @@ class Trie:
         return ids, counts
 
     def _by_shard(self, ids: np.ndarray, files: dict):
-        shards = np.where(ids >= 0, ids // self.m.room if self.m.room else -1, -1)
-        for shard in np.unique(shards).tolist():
+        for shard, own in grouped(np.where(ids >= 0, ids // self.m.room if self.m.room else -1, -1)):
             if shard in files:
-                own = np.flatnonzero(shards == shard)
                 yield files[shard], own, ids[own] - shard * self.m.room
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -236,9 +211,8 @@ class Trie:
         """Of context ids: the place of the first successor, and how many there are."""
         begin, many = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for (first, stored), own, at in self._by_shard(ids, self.m.pointers):
-            pointers = self.file(stored, "pointer")[1]
-            here = pointers.access(at).astype(np.int64)
-            begin[own], many[own] = first + here, pointers.access(at + 1).astype(np.int64) - here
+            here, after = self.file(stored, "pointer")[1].access_two(at)
+            begin[own], many[own] = first + here.astype(np.int64), (after - here).astype(np.int64)
         return begin, many
 
     def weight(self, ids: np.ndarray) -> np.ndarray:
@@ -249,8 +223,8 @@ class Trie:
         return out
 
     def likely_place(self, ids: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
-        """Where among the places of its context an evenly spread successor lies."""
-        return begin + ids * many // self.ids
+        """Where among the places of its context an evenly spread successor lies; it rises with the id."""
+        return begin + np.minimum((ids * (many / self.ids)).astype(np.int64), many - 1)
 
     def value(self, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """What the sequence of successors holds: the likely place, then the id."""
@@ -261,29 +235,64 @@ class Trie:
 
     def bigram(self, before: np.ndarray, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 probability of each id behind the id before it; `base` is what is backed off to."""
-        contexts, which = np.unique(before, return_inverse=True)
+        contexts, c = np.unique(before, return_inverse=True)
+        words, w = np.unique(ids, return_inverse=True)
+        return self.paired(contexts, c, words, w, base)
+
+    def paired(self, contexts: np.ndarray, c: np.ndarray, words: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """As `bigram`, of words[w] behind contexts[c]; equal pairs are looked up once, in the order of the contexts given."""
         begin, many = self.children(contexts)
-        out = self.weight(contexts)[which] + base
-        asked = np.flatnonzero((many > 0)[which] & (ids >= 0))
+        out = self.weight(contexts)[c] + base
+        asked = np.flatnonzero((many > 0)[c] & (words >= 0)[w])
         if not len(asked):
             return out
-        # Frequent pairs are looked up once.
-        keys, back = np.unique(before[asked] * self.ids + ids[asked], return_inverse=True)
-        places = np.searchsorted(contexts, keys // self.ids)
-        places = self.likely_place(keys % self.ids, begin[places], many[places])
+        keys, back = np.unique(c[asked] * len(words) + w[asked], return_inverse=True)
+        at_context, at_word = np.divmod(keys, len(words))
+        ids = words[at_word]
+        places = self.likely_place(ids, begin[at_context], many[at_context])
         found = np.full(len(keys), np.nan)
-        shards = np.searchsorted(self.first_keys, keys, "right") - 1
-        for shard in np.unique(shards[shards >= 0]).tolist():
-            own = np.flatnonzero(shards == shard)
-            parts, line = self.file(self.m.successors[shard][1], "line")
+        for shard, own in self._holders(places, ids):
+            parts, line = self.file(self.m.successors[shard][2], "line")
             first, last = parts["places"].tolist()
-            own = own[(places[own] >= first) & (places[own] <= last)]
-            at = line.find(self.value(places[own] - first, keys[own] % self.ids))
+            own = own[places[own] <= last]
+            at = line.find(self.value(places[own] - first, ids[own]))
             found[own[at >= 0]] = restored(parts, "probability", at[at >= 0])
         score = found[back]
         out[asked] = np.where(np.isnan(score), out[asked], score)
         return out
 
+    def _holders(self, places: np.ndarray, ids: np.ndarray):
+        """The parts of the successors, each with those of the questions that it would hold."""
+        part = np.searchsorted(self.first_places, places, "right") - 1
+        while True:
+            # Equal places belong to one context; they may lie in several parts, in the order of the words.
+            early = (part >= 0) & (self.first_places[part] == places) & (ids < self.first_words[part])
+            if not early.any():
+                break
+            part -= early
+        yield from ((number, own) for number, own in grouped(part) if number >= 0)
+
+
+class Line:
+    """The tokens of a chunk, by the ids of its distinct words, and the token before each one."""
+
+    def __init__(self, trie: Trie, distinct: list[bytes], line: np.ndarray, before: int, start: int):
+        ids, counts = (np.concatenate(x) for x in zip(*(
+            trie.look_up(word_keys(distinct[at : at + REMEMBERED])) for at in range(0, len(distinct), REMEMBERED)
+        )))
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        #: Ids and counts of the words, by id; each token's word; the tokens that end a text.
+        self.words, self.counts = ids[order], counts[order]
+        self.token, self.ends = rank[line], line == len(distinct) - 1
+        #: Ids of what tokens stand behind: the words, then the start of a text, then what ended the chunk before.
+        self.contexts = np.concatenate((self.words, [start, before]))
+        behind = np.where(self.ends, len(order), self.token)
+        self.behind = np.concatenate(([len(order) + 1], behind[:-1]))
+        #: What the next chunk stands behind.
+        self.last = int(self.contexts[behind[-1]])
+
 
 def _sorted_runs(batches, columns: list[str]):
     """All rows of each run of the first column, as arrays; rows arrive sorted."""
@@ -320,25 +329,16 @@ def _write_words(folder: str, shard_bits: int):
 
 def _count_pairs(spec):
     def run(batches):
-        trie, tally = Trie(spec.value), Tally()
-        known = Words(trie.look_up)
+        trie = Trie(spec.value)
         (start,), _ = trie.look_up(np.array([START_KEY]))
         for batch in batches:
             before = start
-            for words, _ in token_chunks((t.as_py() for t in batch.column(0)), TOGETHER):
-                which = known(words)
-                # A pair is not more frequent than its words.
-                often = (known.counts >= LEAST)[which]
-                ends = (known.keys == END_KEY)[which]
-                line = known.ids[which]
-                first = np.concatenate(([before], np.where(ends, start, line)[:-1]))
-                often_first = np.concatenate(([True], (often | ends)[:-1]))
-                keep = often & often_first
-                tally.add(*np.unique(first[keep] * trie.ids + line[keep], return_counts=True))
-                before = start if ends[-1] else line[-1]
-                if tally.n >= COUNTED:
-                    yield from tally.out()
-        yield from tally.out()
+            for distinct, line, _ in token_chunks(batch.column(0)):
+                chunk = Line(trie, distinct, line, before, start)
+                before = chunk.last
+                pairs, n = np.unique(chunk.behind * len(chunk.words) + chunk.token, return_counts=True)
+                context, word = np.divmod(pairs, len(chunk.words))
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.contexts[context]), pa.array(chunk.words[word]), pa.array(n)], ["context", "word", "n"])
 
     return run
 
@@ -347,13 +347,12 @@ def _write_successors(spec, folder: str):
     """Writes the successors of this part of the key range; gives the sums of its contexts and one row of its own."""
     def run(batches):
         trie = Trie(spec.value)
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not held:
             return
-        keys, n = (np.concatenate(x) for x in zip(*held))
-        contexts, start = np.unique(keys // trie.ids, return_index=True)
-        length = np.diff(np.append(start, len(keys)))
-        ids = keys % trie.ids
+        context, ids, n = (np.concatenate(x) for x in zip(*held))
+        start = np.concatenate(([0], np.flatnonzero(context[1:] != context[:-1]) + 1))
+        contexts, length = context[start], np.diff(np.append(start, len(context)))
         begin, many = (np.repeat(x, length) for x in trie.children(contexts))
         places = trie.likely_place(ids, begin, many)
         probability = (n - DISCOUNT) / np.repeat(trie.counts(contexts), length)
@@ -362,9 +361,10 @@ def _write_successors(spec, folder: str):
         parts = sequence(trie.value(places - places[0], ids), int(universe), "line") | {"places": places[[0, -1]]} | quantised(np.log10(probability), "probability")
         stored, m = store(folder, "successors", parts), len(contexts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(contexts, keys[0])), pa.array(np.append(np.add.reduceat(probability, start), 0.0)),
+            [pa.array(np.append(contexts, places[0])), pa.array([None] * m + [ids[0]], pa.int64()),
+             pa.array(np.append(np.add.reduceat(probability, start), 0.0)),
              pa.array(np.append(np.add.reduceat(below, start), 0.0)), pa.array([None] * m + [stored], pa.string())],
-            ["context", "seen", "below", "stored"],
+            ["context", "word", "seen", "below", "stored"],
         )
 
     return run
@@ -408,32 +408,30 @@ def train(texts: DataFrame, folder: str) -> dict:
         .sortWithinPartitions("shard", "key").mapInArrow(_write_words(folder, shard_bits), shard_row).collect()
     )
     room = max((r["size"] for r in written), default=0)
-    ids = room << shard_bits
-    if ids * ids >= 1 << 63:
-        raise ValueError("more words than pairs of ids fit in 63 bits")
     spec = Model(tokens, distinct, shard_bits, room, {r["shard"]: r["stored"] for r in written}, {}, {}, []).__dict__
     if not written:
         return spec
     known = spark.sparkContext.broadcast(spec)
     pairs = pinned(
-        lines.mapInArrow(_count_pairs(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "lm-pairs"
+        lines.mapInArrow(_count_pairs(known), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST),
+        "lm-pairs",
     )
     in_shards = lambda frame: by_shard(frame.withColumn("shard", F.floor(F.col("context") / room))).sortWithinPartitions("shard", "context")
-    children = pairs.groupBy(F.floor(F.col("key") / ids).alias("context")).agg(F.count(F.lit(1)).alias("children"))
+    children = pairs.groupBy("context").agg(F.count(F.lit(1)).alias("children"))
     place = 0
     for r in sorted(in_shards(children).mapInArrow(_write_pointers(known, folder), shard_row).collect(), key=lambda r: r["shard"]):
         spec["pointers"][r["shard"]] = (place, r["stored"])
         place += r["size"]
     known = spark.sparkContext.broadcast(spec)
     sums = pinned(
-        pairs.repartitionByRange("key").sortWithinPartitions("key")
-        .mapInArrow(_write_successors(known, folder), "context long, seen double, below double, stored string"),
+        pairs.repartitionByRange("context", "word").sortWithinPartitions("context", "word")
+        .mapInArrow(_write_successors(known, folder), "context long, word long, seen double, below double, stored string"),
         "lm-contexts",
     )
     # A context's successors may lie in several parts.
     contexts = sums.where("stored IS NULL").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below"))
     spec["weights"] = {r["shard"]: r["stored"] for r in in_shards(contexts).mapInArrow(_write_weights(known, folder), shard_row).collect()}
-    spec["successors"] = [(r["context"], r["stored"]) for r in sums.where("stored IS NOT NULL").orderBy("context").collect()]
+    spec["successors"] = [(r["context"], r["word"], r["stored"]) for r in sums.where("stored IS NOT NULL").orderBy("context", "word").collect()]
     return spec
 
 
@@ -443,19 +441,16 @@ def scored(texts: DataFrame, spec: dict) -> DataFrame:
 
     def run(batches):
         trie = Trie(spec.value)
-        known = Words(trie.look_up)
         (start,), _ = trie.look_up(np.array([START_KEY]))
         for batch in batches:
             n = batch.num_rows
             sums, before = np.zeros((4, n)), start
-            for words, numbers in token_chunks((t.as_py() for t in batch.column(1)), TOGETHER):
-                which = known(words)
-                base = trie.unigram(known.counts)[which]
-                line, ends = known.ids[which], (known.keys == END_KEY)[which]
-                first = np.concatenate(([before], np.where(ends, start, line)[:-1]))
-                score = trie.bigram(first, line, base)
-                before = start if ends[-1] else line[-1]
-                for row, values in zip(sums, (None, (known.counts > 0)[which], base, score)):
+            for distinct, line, numbers in token_chunks(batch.column(1)):
+                chunk = Line(trie, distinct, line, before, start)
+                before = chunk.last
+                base = trie.unigram(chunk.counts)[chunk.token]
+                score = trie.paired(chunk.contexts, chunk.behind, chunk.words, chunk.token, base)
+                for row, values in zip(sums, (None, (chunk.counts > 0)[chunk.token], base, score)):
                     row += np.bincount(numbers, values, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])],

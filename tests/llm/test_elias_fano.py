@@ -28,6 +28,15 @@ def test_pointers_may_repeat(values):
     assert made.access(np.arange(len(line))).tolist() == line.tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10**6) | st.integers(0, 40), min_size=2, max_size=300))
+def test_two_at_once(values):
+    line = np.array(sorted(values), np.int64)
+    made = EliasFano.build(line, 10**6 + 1)
+    here, after = made.access_two(np.arange(len(line) - 1))
+    assert here.tolist() == line[:-1].tolist() and after.tolist() == line[1:].tolist()
+
+
 def test_is_compact():
     values = np.sort(np.random.default_rng(0).integers(0, 10**9, 100_000)).astype(np.uint64)
     bits = sum(p.nbytes for p in EliasFano.build(values, 10**9).parts()) * 8 / len(values)

@@ -3,10 +3,11 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from llm_rows import docs, rows_of  # noqa: F401
 
-from fleetgauge.llm import lm_score
+from fleetgauge.llm import lm_score, storage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -90,8 +91,28 @@ def test_probabilities_add_up(spark, docs):
     ids, counts = trie.look_up(keys)
     base = trie.unigram(counts)
     for before in ids[:5]:
-        import numpy as np
-
         total = (10 ** trie.bigram(np.full(6, before), ids, base)).sum()
         missing = 0.5 / (spec["tokens"] + 0.5 * (spec["distinct"] + 1))
         assert total == pytest.approx(1, abs=2 * missing + 1e-3)
+
+
+def test_folder_that_is_not_mounted(docs, monkeypatch):
+    """Files are read block by block, and few blocks are kept, with the same scores."""
+    rows = [(i, f"{'to be or not to be that is the question ' * (i % 4)} word{i} word{i // 2}") for i in range(600)]
+    want = sorted(rows_of(lm_score.lm_scores(docs(rows))), key=str)
+    for name, value in (("BLOCK", 64), ("KEPT", 2), ("SMALL", 16)):
+        monkeypatch.setattr(storage, name, value)
+    monkeypatch.setattr(storage, "is_mounted", lambda uri: False)
+    assert sorted(rows_of(lm_score.lm_scores(docs(rows))), key=str) == want
+
+
+def test_many_words(spark, docs):
+    """Ids whose product has over 63 bits: of a model in many shards, one of them much the largest."""
+    trie = lm_score.Trie(lm_score.Model(1, 1, 30, 1 << 6, {}, {}, {}, []).__dict__)
+    ids = np.array([0, 1, 1 << 35, (1 << 36) - 1])
+    places = trie.likely_place(ids, np.full(4, 10), np.full(4, 1 << 33))
+    assert places[0] == 10 and (np.diff(places) >= 0).all() and places[-1] < 10 + (1 << 33)
+    trie.first_places, trie.first_words = np.array([0, 7, 7, 7, 9]), np.array([0, 5, 1 << 35, 1 << 36, 2])
+    asked = np.array([(3, 1), (7, 4), (7, 5), (7, (1 << 35) + 1), (7, 1 << 36), (8, 1), (9, 1), (9, 2)])
+    got = {int(i): part for part, own in trie._holders(asked[:, 0], asked[:, 1]) for i in own}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 3, 6: 3, 7: 4}
