@@ -63,6 +63,26 @@ def test_pearson_p(spark):
     assert p[4] == pytest.approx(1.0) and p[5] == pytest.approx(0.0, abs=1e-12)
 
 
+def test_pearson_p_in_closed_form(spark):
+    """Three, four and six pairs have short formulas; many pairs have the normal tail as their limit."""
+    forms = {3: lambda r: 1 - 2 / math.pi * math.asin(r), 4: lambda r: 1 - r, 6: lambda r: 1 - 1.5 * r + 0.5 * r**3}
+    sizes = [0.0, 1e-6, 0.1, 0.5, 0.9, 0.999, 1 - 1e-9]
+    rows = [(sign * r, n) for n in forms for r in sizes for sign in (1.0, -1.0)]
+    many = [(z / math.sqrt(n), n) for n in (10**9, 10**12) for z in (0.01, 1.0, 3.0, 6.0)]
+    found = spark.createDataFrame(rows + many + [(float("nan"), 9), (None, 9)], "r double, n long").select("r", "n", pearson_p("r", "n").alias("p")).collect()
+    for row in found[: len(rows)]:
+        assert row.p == pytest.approx(forms[row.n](abs(row.r)), rel=1e-9, abs=1e-11)
+    for row in found[len(rows) : -2]:
+        assert row.p == pytest.approx(math.erfc(row.r * math.sqrt(row.n) / math.sqrt(2)), rel=1e-6)
+    assert found[-2].p is None and found[-1].p is None
+
+
+def test_pearson_p_needs_no_python_worker(spark):
+    frame = spark.createDataFrame([("a", float(i), float(-i)) for i in range(9)], "satellite_id string, battery_pct double, temperature_c double")
+    plan = relations.relationships(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_normality_of_normal_and_skewed_shape(spark):
     df = spark.createDataFrame([(200, 0.0, 0.0), (200, 2.0, 6.0), (9, 0.0, 0.0), (200, None, None)], "n int, g double, k double")
     p = [r["p"] for r in with_normality_p(df, "p", "n", "g", "k").collect()]
