@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,10 @@ ORDER = ("timestamp", "id")
 GROUP_ROW_LIMIT = 1_000_000
 # One row for each of up to this many groups may be broadcast.
 FEW_GROUPS = 20_000
+# Frames up to this many rows are left to Spark's number of shuffle partitions; of larger ones a task that
+# sorts gets about so many rows.
+FRAME_ROWS = 4_000_000
+TASK_ROWS = 250_000
 
 
 def scoped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -39,18 +44,20 @@ class Spread:
     `split`: some group is too large for one task, so groups are cut into slices.
     `few`: there are few enough groups to broadcast one row for each.
     `largest`: rows of the largest group, if they were counted.
+    `rows`: all rows, if they were counted.
     """
 
     split: bool
     few: bool = False
     largest: int = 0
+    rows: int = 0
 
 
 def measure(df: DataFrame, keys: Sequence[str]) -> Spread:
     """Counts the rows per group (reading the key columns only) to choose a plan."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest, groups = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    return Spread((largest or 0) > GROUP_ROW_LIMIT, groups <= FEW_GROUPS, largest or 0)
+    largest, groups, rows = sizes.agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).first()
+    return Spread((largest or 0) > GROUP_ROW_LIMIT, groups <= FEW_GROUPS, largest or 0, rows or 0)
 
 
 def spread_of(df: DataFrame, keys: Sequence[str], split: Spread | bool | None) -> Spread:
@@ -60,6 +67,17 @@ def spread_of(df: DataFrame, keys: Sequence[str], split: Spread | bool | None) -
     return split if isinstance(split, Spread) else Spread(split)
 
 
+def dealt(df: DataFrame, rows: int, by: Sequence[str]) -> DataFrame:
+    """The rows shuffled by the columns into as many parts as their number asks for.
+
+    The number of shuffle partitions is a setting: if it stays as the rows grow, so do the rows that one task sorts.
+    """
+    if rows <= FRAME_ROWS:
+        return df
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(default, math.ceil(rows / TASK_ROWS)), *by)
+
+
 def join_groups(
     df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", *, few: bool = False
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.grouping import FEW_GROUPS, KEYS, ORDER, Spread, join_groups, spread_of
+from fleetgauge.operators.grouping import FEW_GROUPS, KEYS, ORDER, Spread, dealt, join_groups, spread_of
 from fleetgauge.session import pin
 
 SLICE_ROWS = 1_000_000
@@ -28,17 +28,18 @@ Columns = Callable[[WindowSpec], Mapping[str, Column]]
 
 def _slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Spread
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, bool, int]:
     """Rows in global (group, order) order with `_slice`, the slice number, and `_seq`, the order.
 
-    Also tells whether one row per group and slice is little enough to broadcast.
+    Also tells whether one row per group and slice is little enough to broadcast, and the number of rows.
 
     The last range column is the input partition: equal rows, however many, still spread over the
     slices, and a repeated task gives its rows the same value. The rows are pinned, since slice
     numbers must be the same for everything that is derived from them.
     """
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = max(default, math.ceil(df.count() / SLICE_ROWS))
+    total = df.count()
+    count = max(default, math.ceil(total / SLICE_ROWS))
     cuts = [*keys, *order, "_source"]
     pinned = pin(
         df.withColumn("_source", F.spark_partition_id())
@@ -48,7 +49,7 @@ def _slices(
         .withColumn("_seq", F.monotonically_increasing_id())
         .drop("_source")
     )
-    return pinned, spread.few and count <= FEW_GROUPS
+    return pinned, spread.few and count <= FEW_GROUPS, total
 
 
 def _earlier(keys: Sequence[str]) -> WindowSpec:
@@ -71,8 +72,8 @@ def reading_index(
     if not spread.split:
         window = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
         position = F.row_number().over(window) - 1
-        return df.withColumn(name, position.cast("long"))
-    rows, few = _slices(df, keys, order, spread)
+        return dealt(df, spread.rows, keys).withColumn(name, position.cast("long"))
+    rows, few, _ = _slices(df, keys, order, spread)
     starts = rows.groupBy(*keys, "_slice").agg(
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
@@ -97,7 +98,7 @@ def over_readings(
     """
     spread = spread_of(df, keys, split)
     if not spread.split:
-        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
+        return dealt(df, spread.rows, keys).withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
     chunk_rows = max(chunk_rows, before, after)
     rows = reading_index(df, keys=keys, order=order, name="_position", split=spread)
     home = F.floor(F.col("_position") / F.lit(chunk_rows))
@@ -110,6 +111,7 @@ def over_readings(
         )
     )
     copied = rows.withColumn("_home", home).withColumn("_chunk", F.explode(chunks))
+    copied = dealt(copied, spread.rows, [*keys, "_chunk"])
     window = Window.partitionBy(*keys, "_chunk").orderBy("_position")
     return (
         copied.withColumns(dict(columns(window)))
@@ -127,14 +129,17 @@ def running_totals(
     if not spread.split:
         window = Window.partitionBy(*keys).orderBy(*order)
         window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({name: F.sum(value).over(window) for name, value in totals.items()})
+        placed = dealt(df, spread.rows, keys)
+        return placed.withColumns({name: F.sum(value).over(window) for name, value in totals.items()})
     added = df.withColumns({f"_add_{name}": value for name, value in totals.items()})
-    rows, few = _slices(added, keys, order, spread)
+    rows, few, total = _slices(added, keys, order, spread)
     sums = rows.groupBy(*keys, "_slice").agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in totals])
     carried = sums.select(
         *keys, "_slice", *[F.sum(f"_sum_{n}").over(_earlier(keys)).alias(f"_carry_{n}") for n in totals]
     )
-    rows = rows.withColumns({f"_here_{n}": F.sum(f"_add_{n}").over(_within(keys)) for n in totals})
+    rows = dealt(rows, total, [*keys, "_slice"]).withColumns(
+        {f"_here_{n}": F.sum(f"_add_{n}").over(_within(keys)) for n in totals}
+    )
     joined = join_groups(rows, carried, [*keys, "_slice"], few=few)
     return joined.withColumns(
         {
@@ -159,7 +164,7 @@ def fill_forward_backward(
         ordered = Window.partitionBy(*keys).orderBy(*order)
         so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns(
+        return dealt(df, spread.rows, keys).withColumns(
             {
                 c: F.coalesce(
                     F.last(c, ignorenulls=True).over(so_far),
@@ -168,7 +173,7 @@ def fill_forward_backward(
                 for c in columns
             }
         )
-    rows, few = _slices(df, keys, order, spread)
+    rows, few, total = _slices(df, keys, order, spread)
     known = [
         agg
         for c in columns
@@ -187,7 +192,7 @@ def fill_forward_backward(
         *[F.last(f"_last_{c}", ignorenulls=True).over(_earlier(keys)).alias(f"_carry_{c}") for c in columns],
         *[F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_head_{c}") for c in columns],
     )
-    rows = rows.withColumns(
+    rows = dealt(rows, total, [*keys, "_slice"]).withColumns(
         {f"_here_{c}": F.last(c, ignorenulls=True).over(_within(keys)) for c in columns}
     )
     joined = join_groups(rows, carried, [*keys, "_slice"], few=few)

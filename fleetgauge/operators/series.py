@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.scalars import trend_direction
-from fleetgauge.operators.grouping import KEYS, ORDER, Spread, join_groups, ordering, present, scoped, spread_of
+from fleetgauge.operators.grouping import KEYS, ORDER, Spread, dealt, join_groups, ordering, present, scoped, spread_of
 from fleetgauge.operators.ordering import over_readings, running_totals
 from fleetgauge.operators.select import melt_metrics
 from fleetgauge.operators.windows import percent_change
@@ -94,24 +95,43 @@ def centered_moving_average(
     metrics, order = present(df, metrics), ordering(df, order)
     split = spread_of(df, keys, split)
     by = [*keys, "metric"]
-    long = melt_metrics(df, metrics, [*keys, *order]).where(F.col("value").isNotNull())
-    sizes = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("center"))
-    series = join_groups(long, sizes.where(F.col("n") >= SHORTEST), by, "inner", few=split.few)
     if window:
+        long = melt_metrics(df, metrics, [*keys, *order]).where(F.col("value").isNotNull())
+        sizes = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        series = join_groups(long, sizes.where(F.col("n") >= SHORTEST), by, "inner", few=split.few)
+
         def mean(w):
             frame = w.rowsBetween(-(window // 2), (window - 1) // 2)
             return {"average": F.when(F.count("value").over(frame) == window, F.avg("value").over(frame))}
 
         averaged = over_readings(
-            series, mean, before=window // 2, after=(window - 1) // 2, keys=by, order=order, split=split
+            series, mean, before=window // 2, after=(window - 1) // 2, keys=by, order=order,
+            split=replace(split, rows=split.rows * len(metrics)),
         )
         return averaged.select(*by, *order, "value", F.lit(window).alias("width"), "average")
-    totals = {"at": F.lit(1), "sum": F.col("value") - F.col("center")}
-    numbered = running_totals(series, totals, keys=by, order=order, split=split)
+    wide = df.select(*keys, *order, *[F.col(m).cast("double").alias(m) for m in metrics])
+    sizes = wide.groupBy(*keys).agg(
+        *[F.count(m).alias(f"_n_{m}") for m in metrics], *[F.avg(m).alias(f"_center_{m}") for m in metrics]
+    )
+    totals = {f"_at_{m}": F.col(m).isNotNull().cast("long") for m in metrics}
+    totals |= {f"_sum_{m}": F.col(m) - F.col(f"_center_{m}") for m in metrics}
+    # The totals of all metrics go over the readings together; a row for each metric is made after that.
+    totalled = running_totals(
+        join_groups(wide, sizes, keys, few=split.few), totals, keys=keys, order=order, split=split
+    )
+    each = [
+        F.struct(
+            F.lit(m).alias("metric"), F.col(m).alias("value"),
+            *[F.col(f"_{kind}_{m}").alias(kind) for kind in ("n", "center", "at", "sum")],
+        )
+        for m in metrics
+    ]
+    numbered = totalled.select(*keys, *order, F.explode(F.array(*each)).alias("p")).select(*keys, *order, "p.*")
+    numbered = numbered.where(F.col("value").isNotNull() & (F.col("n") >= SHORTEST))
     width = F.greatest(F.lit(5), F.floor(F.col("n") / F.lit(20)))
     numbered = numbered.withColumn("width", width.cast("int"))
     first, last = F.floor(F.col("width") / F.lit(2)), F.floor((F.col("width") - 1) / F.lit(2))
-    values = F.struct("value", "n", "center", "width", *order)
+    values = F.struct("value", "center", "width", *order)
     parts = F.array(
         F.struct(F.col("at").alias("target"), values.alias("own"), F.lit(None).cast("double").alias("low"),
                  F.lit(None).cast("double").alias("high")),
@@ -120,12 +140,14 @@ def centered_moving_average(
         F.struct((F.col("at") - last).alias("target"), F.lit(None).cast(_type_of(numbered, values)).alias("own"),
                  F.lit(None).cast("double").alias("low"), F.col("sum").alias("high")),
     )
-    sent = numbered.select(*by, (first + 1).alias("head"), F.explode(parts).alias("p")).select(*by, "head", "p.*")
-    met = sent.groupBy(*by, "target").agg(
-        F.max("head").alias("head"), F.max_by("own", F.col("own").isNotNull()).alias("own"),
+    sent = numbered.select(*by, F.explode(parts).alias("p")).select(*by, "p.*")
+    # The places of a group are dealt over the tasks; else one would get all of them, three rows for each value.
+    met = dealt(sent, split.rows * len(metrics), [*by, "target"]).groupBy(*by, "target").agg(
+        F.max_by("own", F.col("own").isNotNull()).alias("own"),
         F.max("low").alias("low"), F.max("high").alias("high"),
     )
-    low = F.when(F.col("target") == F.col("head"), 0.0).otherwise(F.col("low"))
+    head = F.floor(F.col("own.width") / F.lit(2)) + 1
+    low = F.when(F.col("target") == head, 0.0).otherwise(F.col("low"))
     average = (F.col("high") - low) / F.col("own.width") + F.col("own.center")
     return met.where(F.col("own").isNotNull()).select(
         *by, *[F.col(f"own.{c}").alias(c) for c in order], "own.value", "own.width", average.alias("average")

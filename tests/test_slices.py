@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgauge.operators import anomaly, charts, relations, series, statistics, validation, windows
+from fleetgauge.operators import anomaly, charts, grouping, relations, series, statistics, validation, windows
 from fleetgauge.operators.grouping import Spread
 from fleetgauge.operators.ordering import (
     fill_forward_backward, over_readings, reading_index, running_totals,
@@ -96,3 +96,19 @@ def test_a_frame_wider_than_a_chunk(stored):
     )
     columns = ["id", "far", "near"]
     assert rows(wide(True).select(columns)) == rows(wide(False).select(columns))
+
+
+def dealt_rows(df, monkeypatch, build):
+    """The rows, and into how many tasks they are dealt when a task takes fifty."""
+    monkeypatch.setattr(grouping, "FRAME_ROWS", 100, raising=False)
+    monkeypatch.setattr(grouping, "TASK_ROWS", 50, raising=False)
+    made = build(df)
+    return rows(made, 6), made.groupBy(F.spark_partition_id()).count().count()
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_the_tasks_of_moving_averages_grow_with_the_rows(stored, monkeypatch, limit):
+    plain = rows(series.centered_moving_average(stored, split=False), 6)
+    monkeypatch.setattr(grouping, "GROUP_ROW_LIMIT", limit)
+    cut, tasks = dealt_rows(stored, monkeypatch, series.centered_moving_average)
+    assert cut == plain and tasks > 16
