@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
-from fleetgauge.operators.grouping import KEYS, ORDER, Spread, join_groups, spread_of
+from fleetgauge.operators.grouping import KEYS, ORDER, Spread, dealt, join_groups, spread_of
 from fleetgauge.operators.ordering import fill_forward_backward, over_readings
 
 
@@ -52,6 +53,9 @@ def percent_change(
     looked up one row back. A change from zero has no percentage.
     """
     split = spread_of(df, keys, split)
+    if not split.split:
+        # Both windows find the rows where one shuffle has put them.
+        df, split = dealt(df, split.rows, keys), replace(split, rows=0)
     known = {f"_known_{m}": F.col(m) for m in metrics}
     carried = fill_forward_backward(
         df.withColumns(known), list(known), keys=keys, order=order, backward=False, split=split

@@ -112,3 +112,14 @@ def test_the_tasks_of_moving_averages_grow_with_the_rows(stored, monkeypatch, li
     monkeypatch.setattr(grouping, "GROUP_ROW_LIMIT", limit)
     cut, tasks = dealt_rows(stored, monkeypatch, series.centered_moving_average)
     assert cut == plain and tasks > 16
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_the_tasks_of_changes_and_trends_grow_with_the_rows(stored, monkeypatch, limit):
+    plain = rows(windows.percent_change(stored.select("id", "satellite_id", "timestamp", "battery_pct"), ["battery_pct"], split=False), 6)
+    whole = rows(series.time_series_analysis(stored, split=False), 4)
+    monkeypatch.setattr(grouping, "GROUP_ROW_LIMIT", limit)
+    narrow = stored.select("id", "satellite_id", "timestamp", "battery_pct")
+    cut, tasks = dealt_rows(narrow, monkeypatch, lambda t: windows.percent_change(t, ["battery_pct"]))
+    assert cut == plain and tasks > 8
+    assert rows(series.time_series_analysis(stored), 4) == whole
