@@ -10,11 +10,11 @@ from fleetgauge.llm.common import drop_folder, shared_folder
 
 def _stars(links: DataFrame) -> DataFrame:
     """One round on links (a > b): larger neighbours go to the least one around b, then all of a's to a's least."""
-    around = links.groupBy("b").agg(F.lit(None).cast("long").alias("m")).union(links.groupBy("a").agg(F.min("b")))
-    least = around.groupBy("b").agg(F.min("m").alias("m"))
-    large = (
-        links.join(least, "b").select("a", F.least("b", F.coalesce("m", "b")).alias("b")).distinct()
-    )
+    # The least neighbour counts where it is less than the node itself, so only nodes that have one go into the join.
+    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+    joined = links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+    # Dealt by `a` once, for the distinct rows, the least of each node and the join of both.
+    large = joined.repartition("a").distinct()
     root = large.groupBy("a").agg(F.min("b").alias("m"))
     joined = large.join(root, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(root).distinct()

@@ -111,3 +111,17 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 11: 10, **{i: 100 for i in range(101, 201)}, **{500 + i: 500 for i in range(1, 50)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_round_of_components_shuffles_little(spark):
+    from fleetgauge.llm.components import _stars
+
+    links = spark.createDataFrame([(2, 1), (3, 2), (5, 4), (9, 3), (9, 8)], "a long, b long")
+    made = _stars(links)
+    assert sorted(map(tuple, made.collect())) == [(2, 1), (3, 1), (5, 4), (8, 2), (9, 2)]
+    # Links are shuffled for the join on b, its distinct rows by a, and the result; subtrees that recur count again.
+    assert plan_of(_stars(links)).count("Exchange hashpartitioning(") <= 10
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
