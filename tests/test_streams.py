@@ -176,6 +176,57 @@ def test_state_forgets_and_the_store_does_not(spark, tmp_path):
     assert sorted(r.id for r in stored.collect()) == [1, 2, 3, 4]
 
 
+def test_a_stream_that_knows_its_keys_does_not_ask_the_store(spark, tmp_path, monkeypatch):
+    """Records in no order of time: only what another stream has stored is looked up, and in its runs alone."""
+    inbox, store, asked = tmp_path / "in", tmp_path / "store", []
+    rows = Store.rows
+    monkeypatch.setattr(Store, "rows", lambda self, runs, days=None: asked.append(sorted(r.first for r in runs)) or rows(self, runs, days))
+    at = lambda hour: {**GOOD, "timestamp": f"2024-01-01T{hour:02d}:00:00"}
+    for n, hours in enumerate([[12, 8], [9, 7, 12], [10, 6, 9]]):
+        write(inbox, f"{n}.json", [at(h) for h in hours])
+        time.sleep(0.01)
+    deduplicated(spark, inbox, store, tmp_path / "checkpoint")
+    assert asked == []
+    for n, hours in enumerate([[20, 8], [5, 9, 15], [6, 15, 4]]):
+        write(tmp_path / "other", f"{n}.json", [at(h) for h in hours])
+        time.sleep(0.01)
+    deduplicated(spark, tmp_path / "other", store, tmp_path / "checkpoint-2")
+    assert asked and all(runs == [0, 1, 2] for runs in asked)
+    stored = ingest.read_store(spark, str(store))
+    assert sorted(r.timestamp.hour for r in stored.collect()) == [4, 5, 6, 7, 8, 9, 10, 12, 15, 20]
+    assert sorted(r.id for r in stored.collect()) == list(range(1, 11))
+    totals = ingest.stream_totals(ingest.stream_stats(spark, str(store))).first()
+    assert (totals.received_total, totals.accepted_total, totals.rejected_total) == (16, 10, 0)
+
+
+def test_what_may_be_stored(spark):
+    """Others have stored up to 9:00, this stream up to 12:00 since it began at 10:00; one history entry says 11:00 at 10:30."""
+    at = lambda hour, minute=0: dt.datetime(2024, 1, 1, hour, minute)
+    asked = [(t, k) for t in (at(9), at(9, 1), at(11, 1), at(12, 1)) for k in (at(9, 50), at(10, 20), at(10, 40))]
+    rows = spark.createDataFrame(asked, "timestamp timestamp, known_since timestamp")
+    history = [(at(10, 30), at(11))]
+    for floor, want in ((at(9), [True] * 3 + [False, True, True] + [False, False, True] + [False] * 3), (None, [False, True, True] * 2 + [False, False, True] + [False] * 3)):
+        maybe = Position(3, 9, floor, at(12), history, at(10)).maybe_stored(F.col("timestamp"), F.col("known_since"))
+        assert [r.maybe for r in rows.select(maybe.alias("maybe")).collect()] == want
+    # Without a beginning, as in logs of before, the history decides.
+    maybe = Position(3, 9, None, at(12), history).maybe_stored(F.col("timestamp"), F.col("known_since"))
+    assert [r.maybe for r in rows.select(maybe.alias("maybe")).collect()] == [True] * 6 + [False, False, True] + [False] * 3
+
+
+def test_a_batch_of_many_days_leaves_few_files(spark, tmp_path):
+    """Each task has all days; the batches are merged then."""
+    known = {ingest.ARRIVED: F.lit("2024-02-01").cast("timestamp"), ingest.KNOWN_SINCE: F.lit("2024-01-31").cast("timestamp")}
+    writer, folder = ingest.store_batch(str(tmp_path / "store"), merge_every=2), tmp_path / "store" / "telemetry"
+    most = []
+    for n, count in enumerate((20_000, 400, 400, 400)):
+        rows = spark.range(count, numPartitions=8).selectExpr("concat('S', id % 7) AS satellite_id", f"timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 40), 0, {n}, id) AS timestamp")
+        writer(ingest.stream_ingest(rows).withColumns(known), n)
+        most.append(len(list(folder.rglob("*.parquet"))))
+    assert most[0] <= 40 + 8 and most[2] <= 3 * (40 + 8) and len(list(folder.rglob("level=1/*/*.parquet"))) <= 40 + 8
+    stored = ingest.read_store(spark, str(tmp_path / "store"))
+    assert stored.agg(F.count("id"), F.countDistinct("id"), F.min("id"), F.max("id"), F.countDistinct("satellite_id", "timestamp")).first() == (21_200, 21_200, 1, 21_200, 21_200)
+
+
 def folders(path):
     return sum(p.is_dir() for p in path.rglob("*"))
 
